@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("substrings",)
+MODULES = ("rules", "substrings", "chat", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
