@@ -33,10 +33,10 @@ STOP_WORDS = (
 #: name, measure, base of the percentage (or None: the plain number), least, most; None is open.
 RULES = (
     ("word_length", "word_chars", "n_words", 250, 1200),
-    ("symbols", "n_symbols", "word_chars", None, 8),
+    ("symbols", "n_symbols", "word_chars", None, 5),
     ("shouting", "n_marks", "n_words", None, 50),
     ("stop_words", "n_stop_words", "n_words", 5, None),
-    ("repeated_lines", "n_dup_lines", "n_lines", None, 30),
+    ("repeated_lines", "n_dup_lines", "n_lines", None, 50),
 )
 
 
