@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "substrings", "chat", "urls")
+MODULES = ("rules", "substrings", "near", "chat", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
