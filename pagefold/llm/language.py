@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import U64, WordHash, answer, ask, blocks, buckets_for, finish, lower, mix, planes, settle, split_buckets, table, texts, unplanes
 
-SHARE, GAIN, PRIOR, CLASSES = 5e-4, 24.0, 1000.0, 64
+SHARE, GAIN, PRIOR, CLASSES = 5e-4, 24.0, 2000.0, 64
 END, START = b"\n", b"\r"
 BLOCK = 1000
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "substrings", "near", "chat", "urls", "contamination", "language")
+MODULES = ("rules", "substrings", "near", "chat", "urls", "contamination", "language", "classifier")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
