@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "substrings", "near", "chat", "urls", "contamination", "language", "classifier")
+MODULES = ("rules", "substrings", "near", "chat", "urls", "contamination", "language", "classifier", "pieces")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
