@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "substrings", "near", "chat", "urls", "contamination", "language", "classifier", "pieces")
+MODULES = ("rules", "substrings", "near", "chat", "urls", "contamination", "language", "classifier", "pieces", "licenses")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
