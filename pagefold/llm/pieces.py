@@ -41,7 +41,7 @@ MARK = "▁"
 #: Fixed values of the model format: model types and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-SLICE, KEPT_WORDS, KEPT_PAIRS = 1 << 21, 400_000, 1_000_000
+SLICE, KEPT_WORDS, KEPT_PAIRS = 1 << 21, 300_000, 1_000_000
 
 
 def _fields(raw: bytes):
@@ -99,7 +99,19 @@ class Model:
         self.words = re.compile(f"{MARK}+[^{MARK}{cut}]*|{cut or '$.'}+|[^{MARK}{cut}]+").findall
         self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.least = min(self.scores) - 10
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # pieces that are a result by themselves, and by their last three characters which lengths there are, longest first
+        self.usable = {p: i for p, i in self.ids.items() if self.kind != BPE or self.merged(list(p)) == [p]}
+        ends: dict[str, set[int]] = {}
+        for p in self.usable:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # words of late and, in ``older``, of before
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pairs": {}, "known": {}, "older": {}}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """BPE by its definition: merge the best-scored neighbours, leftmost first, while any are a piece."""
@@ -114,48 +126,71 @@ class Model:
                 return symbols
             symbols[where : where + 2] = [symbols[where] + symbols[where + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """b may follow a: joined they give just the two.  With an empty a: b is a result by itself."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(list(a + b)) == ([a, b] if a else [b])
-        return known
-
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The ids of distinct words."""
-        step = self._fitting if self.kind == BPE else self._best
-        out, before, state = {}, "", [("", 0, 0.0)]  # state of the prefix of each length: last piece, its start, score
-        for word in sorted(words):
-            shared = len(os.path.commonprefix((before, word)))
-            del state[shared + 1 :]
+        return (self._fitting if self.kind == BPE else self._best)(sorted(words))
+
+    def _fitting(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """BPE: a prefix's state is the id and the start of the last piece that fits; -1 is a character without a piece."""
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        get, lengths, pairs, n_ids = self.usable.get, self.lengths.get, self.pairs, len(self.pieces)
+        out, before, last, begin = {}, "", [-1], [0]
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], begin[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                state.append(step(word, end, state))
+                for n in lengths(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                    start = end - n
+                    if start < 0:
+                        continue
+                    i = get(word[start:end])
+                    if i is None:
+                        continue
+                    a = last[start]
+                    if a < 0:  # at the word's start, or after a character that never merges
+                        break
+                    fits = pairs.get(a * n_ids + i)
+                    if fits is None:
+                        x, y = self.pieces[a], self.pieces[i]
+                        fits = pairs[a * n_ids + i] = self.merged(list(x + y)) == [x, y]
+                    if fits:
+                        break
+                else:
+                    i, start = -1, end - 1
+                last.append(i)
+                begin.append(start)
             before, at, found = word, len(word), []
             while at:
-                piece, at, _ = state[at]
-                found.append(piece)
-            out[word] = tuple(chain.from_iterable(map(self.spelled, reversed(found))))
+                i, start = last[at], begin[at]
+                found.append((i,) if i >= 0 else self.spelled(word[start:at]))
+                at = start
+            out[word] = tuple(chain.from_iterable(reversed(found)))
         return out
 
-    def _fitting(self, word: str, end: int, state: list) -> tuple[str, int, float]:
-        ids, fits = self.ids, self.fits
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (piece in ids or start == end - 1) and fits("", piece) and (not start or fits(state[start][0], piece)):
-                return piece, start, 0.0
-        raise AssertionError("a prefix always has a last piece")
-
-    def _best(self, word: str, end: int, state: list) -> tuple[str, int, float]:
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            i = self.ids.get(word[start:end])
-            if i is not None or start == end - 1:
-                total = state[start][2] + (self.least if i is None else self.scores[i])
-                if best is None or total > best[2]:
-                    best = (word[start:end], start, total)
-        return best
+    def _best(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Unigram, Viterbi: a prefix's state is its best score, and the start of the last piece of that path."""
+        out, before, score, begin = {}, "", [0.0], [0]
+        for word in words:
+            shared = len(os.path.commonprefix((before, word)))
+            del score[shared + 1 :], begin[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                paths = [(score[end - 1] + self.least, end - 1)]
+                for start in range(max(0, end - self.longest), end):
+                    i = self.ids.get(word[start:end])
+                    if i is not None:
+                        paths.append((score[start] + self.scores[i], start))
+                best = max(paths, key=lambda x: x[0])
+                score.append(best[0])
+                begin.append(best[1])
+            before, at, found = word, len(word), []
+            while at:
+                found.append(self.spelled(word[begin[at] : at]))
+                at = begin[at]
+            out[word] = tuple(chain.from_iterable(reversed(found)))
+        return out
 
     def spelled(self, piece: str) -> tuple[int, ...]:
         i = self.ids.get(piece)
@@ -166,12 +201,19 @@ class Model:
     def mark(self, text: str) -> list[str]:
         return self.words((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: list[str | None], known: dict[str, tuple[int, ...]]) -> list[np.ndarray]:
-        """The ids of each text; ``known`` keeps words from call to call, within a bound."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text.  Words are kept from call to call, at most twice KEPT_WORDS and those of one call."""
         marked = [self.mark(t) if t else [] for t in texts]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        known.update(self.encode_words({w for ws in marked for w in ws if w not in known}))
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older.get, []
+        for w in set(chain.from_iterable(marked)).difference(known):
+            ids = older(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        known.update(self.encode_words(new))
         return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in marked]
 
     def decode(self, ids) -> str:
@@ -192,7 +234,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, known = sent.value, {}
+        m = sent.value
         for batch in batches:
             names, raw, at = batch.column(0), batch.column(1).to_pylist(), 0
             while at < len(raw):
@@ -200,7 +242,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 while end < len(raw) and held < SLICE:
                     held += len(raw[end] or "")
                     end += 1
-                ids = m.encode(raw[at:end], known)
+                ids = m.encode(raw[at:end])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 same = [m.decode(x.tolist()) == (t or "") for x, t in zip(ids, raw[at:end])]
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
