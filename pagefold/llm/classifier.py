@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table, texts
+from .common import in_batches, table, texts
 
 SAMPLE, FILTERS, EMBED, STRIDE, CHUNK, HIDDEN = 6000, 32, 8, 4, 128, 16
 EPOCHS, BATCH, RATE, DECAY, THRESHOLD = 8, 32, 0.004, 1e-3, 0.3
@@ -75,7 +75,7 @@ class Network:
         top = np.maximum.reduceat(conv, chunks)
         h = np.maximum(top + p["shift"], 0)
         n = np.diff(np.append(docs, len(chunks)))
-        x = np.concatenate((np.maximum.reduceat(h, docs), np.minimum.reduceat(h, docs), np.add.reduceat(h, docs) / n[:, None], size[:, None]), axis=1).astype(np.float32)
+        x = np.concatenate((np.maximum.reduceat(h, docs), np.minimum.reduceat(h, docs), np.add.reduceat(h, docs) / n[:, None], size[:, None]), axis=1).astype(p["w1"].dtype)
         a = np.maximum(x @ p["w1"] + p["b1"], 0)
         z = np.clip((a @ p["w2"] + p["b2"]).astype(np.float64), -30, 30)
         return 1 / (1 + np.exp(-z)), (codes, first, chunks, docs, e, conv, top, h, n, x, a)
@@ -88,14 +88,17 @@ class Network:
     def gradients(self, raw: list[bytes], label: np.ndarray) -> dict[str, np.ndarray]:
         p, g = self.p, {}
         out, (codes, first, chunks, docs, e, conv, top, h, n, x, a) = self.forward(raw)
-        dz = ((out - label) / len(raw)).astype(np.float32)
+        dz = ((out - label) / len(raw)).astype(p["w1"].dtype)
         g["w2"], g["b2"] = a.T @ dz, dz.sum(keepdims=True)
         da = np.outer(dz, p["w2"]) * (a > 0)
         g["w1"], g["b1"] = x.T @ da, da.sum(axis=0)
         dx = da @ p["w1"].T
         most, least, mean = dx[:, :FILTERS], dx[:, FILTERS : 2 * FILTERS], dx[:, 2 * FILTERS : 3 * FILTERS]
         spread = lambda v: np.repeat(v, n, axis=0)
-        dh = spread(most) * (h == spread(x[:, :FILTERS])) + spread(least) * (h == spread(x[:, FILTERS : 2 * FILTERS])) + spread(mean / n[:, None])
+        dh = spread(mean / n[:, None])
+        for part, d in ((x[:, :FILTERS], most), (x[:, FILTERS : 2 * FILTERS], least)):
+            tie = h == spread(part)
+            dh = dh + tie * spread(d / np.add.reduceat(tie, docs, dtype=np.int64))  # equal chunks share
         dh = dh * (h > 0)
         g["shift"] = dh.sum(axis=0)
         # only the window that gave a chunk its maximum has a part in it
@@ -117,7 +120,7 @@ class Network:
         """Adam on the cross-entropy; batches are of BATCH documents, each shifted by up to three zero bytes against the stride."""
         r, t = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        epochs = max(epochs, min(60, 16_000 // max(1, len(raw))))  # few rows: about as many steps
+        epochs = max(epochs, min(250, 16_000 // max(1, len(raw))))  # few rows: about as many steps
         for epoch in range(epochs):
             order = r.permutation(len(raw))
             for k in range(0, len(order), BATCH):
@@ -162,7 +165,7 @@ def with_scores(docs: DataFrame, network: Network) -> DataFrame:
             yield batch.append_column("__score", pa.array(np.concatenate(out)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, __score double")
+    return in_batches(docs, run, f"{fields}, __score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

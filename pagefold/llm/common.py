@@ -1,7 +1,7 @@
 """Shared parts of the training-data operators.
 
 ``blocks`` gives every document a block key; blocks are disjoint, ascending
-ranges of ``doc_id``.  ``exchange`` is the one distributed pattern the corpus
+ranges of ``doc_id`` of about equal numbers of documents.  ``exchange`` is the one distributed pattern the corpus
 wide operators use: every block sends packed arrays of 64-bit keys to hash
 buckets, the buckets aggregate them over the whole corpus and answer each
 block in the order asked, and the block finishes its own documents.  A key
@@ -12,13 +12,15 @@ no bucket can grow hot.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BLOCK_DOCS = 500
+BLOCK_DOCS, RANGES, BATCH_ROWS = 500, 20_000, 1000
 U64 = np.uint64
 
 #: Bytes that are not part of a word for the two word rules (see ``words`` and ``plain_words``).
@@ -61,32 +63,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, kept while the table is small; the hash itself depends on the word only."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def array(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), dtype=U64, count=len(ws))
-
-
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_kept_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=U64)
+    """base^0 to base^(n-1); up to a million are kept."""
+    known = _kept_powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, dtype=U64)
+        known[0] = 1
+        known = np.cumprod(known, dtype=U64)
+        if n <= 1 << 20:
+            _kept_powers[base] = known
+    return known[:n]
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,6 +92,67 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix((prefix[width:] - prefix[:-width]) * _powers(_INVERSE, n - width + 1))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.random.default_rng(1).integers(0, 1 << 64, 256, dtype=U64)
+_NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+HASHED_AT_ONCE = 1 << 16
+
+
+def _hash_buffer(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a buffer, and where each begins.
+
+    A word's hash is a polynomial of its bytes' table values, taken from running sums over the whole
+    buffer, and mixed with its length; unequal words clash with a chance of about 2^-58 a pair.
+    """
+    a = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(a) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[a]
+    edges = np.flatnonzero(np.diff(inside))
+    start, end = edges[::2], edges[1::2]
+    prefix = np.zeros(len(a) + 1, dtype=U64)
+    np.cumsum(_BYTE[a] * _powers(_BASE, len(a)), dtype=U64, out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * _powers(_INVERSE, len(a))[start] + (end - start).astype(U64) * U64(_BASE)), start
+
+
+def hashed(raw: list[bytes | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all ``words`` of some texts, one text after another, and each text's number of words.
+
+    ``fold``: of the lower-cased words.  Long texts are cut at white space, so the memory needed does
+    not depend on their length.
+    """
+    out, counts, part, held = [], np.zeros(len(raw), np.int64), [], 0
+
+    def flush():
+        buffer = b"\n".join(x for _, x in part)
+        h, start = _hash_buffer(lower(buffer) if fold else buffer)
+        first = np.cumsum([0, *(len(x) + 1 for _, x in part)])
+        np.add.at(counts, [k for k, _ in part], np.diff(np.searchsorted(start, first)))
+        out.append(h)
+
+    for k, text in enumerate(raw):
+        at = 0
+        while text and at < len(text):
+            cut = _NEXT_SPACE.search(text, at + HASHED_AT_ONCE)
+            end = cut.start() if cut else len(text)
+            part.append((k, text[at:end]))
+            held, at = held + end - at, end
+            if held >= HASHED_AT_ONCE:
+                flush()
+                part, held = [], 0
+    if part:
+        flush()
+    return np.concatenate(out) if out else np.empty(0, U64), counts
+
+
+def windows(values: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows inside each text, one text after another, and each text's number of windows."""
+    n = np.maximum(counts - width + 1, 0)
+    first = np.cumsum(counts) - counts
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return rolling(values, width)[at] if len(at) else np.empty(0, U64), n
+
+
 def planes(u: np.ndarray) -> bytes:
     """Sorted 64-bit keys as eight byte planes: the shared leading bytes then compress away."""
     return u.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -122,6 +176,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def in_batches(docs: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS texts, so that long texts do not pile up in a worker.
+
+    Lowers the session's setting for this, if it is larger.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs.mapInArrow(run, schema)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again.
 
@@ -143,17 +208,39 @@ def buckets_for(n_docs: int) -> int:
     return n
 
 
-def blocks(docs: DataFrame, columns: list[str], per_block: int = BLOCK_DOCS) -> tuple[DataFrame, int]:
-    """``docs`` with a key ``__g``, and the number of documents.
+def blocks(docs: DataFrame, columns: list[str], per_block: int = BLOCK_DOCS, ranges: int = RANGES) -> tuple[DataFrame, int]:
+    """``docs`` with a key ``__g``, and the number of documents that have a ``doc_id``.
 
-    Blocks are equal ranges of ``doc_id``, sized from its smallest and largest value and the row count
-    for about ``per_block`` documents each; one narrow scan finds these three.  A null ``doc_id`` gets a
-    null key.
+    Keys ascend with ``doc_id``.  Sampled quantiles of ``doc_id`` bound the blocks, so that they hold
+    about ``per_block`` documents whatever the ids' distribution; beyond ``ranges`` blocks each range
+    between quantiles is divided evenly, by its own smallest and largest id.  Only these bounds, at most
+    ``ranges``, come to the driver.  Rows with one ``doc_id`` share a block; a null one gets a null key.
     """
-    n, low, high = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    step = 1 if not n else max(1, (int(high) - int(low) + 1) * per_block // n)
-    key = F.expr(f"CAST((CAST(doc_id AS DECIMAL(20,0)) - {int(low or 0)}) DIV {step} AS BIGINT)")
-    return docs.select(*columns, key.alias("__g")), int(n)
+    ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    n = ids.count()
+    wanted = -(-n // per_block)
+    parts = min(wanted, ranges)
+    cuts = np.unique(np.array(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], np.int64))
+
+    def place(low=None, width=None, first=None):
+        @F.pandas_udf("long")
+        def block(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(np.int64)
+            r = np.searchsorted(cuts, v, side="right")
+            return pd.Series(r if low is None else first[r] + (v - low[r]) // width[r])
+
+        return block
+
+    at = place()
+    if wanted > parts:
+        of = ids.withColumn("r", at("doc_id")).groupBy("r").agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).collect()
+        low, width, pieces = np.zeros(len(cuts) + 1, np.int64), np.ones(len(cuts) + 1, np.int64), np.ones(len(cuts) + 1, np.int64)
+        for r, count, least, most in of:
+            low[r], pieces[r] = least, -(-count // per_block)
+            width[r] = (most - least) // pieces[r] + 1
+        at = place(low, width, np.cumsum(pieces) - pieces)
+    key = F.when(F.col("doc_id").isNotNull(), at(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    return docs.select(*columns, key.alias("__g")), n
 
 
 def split_buckets(u: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import plain_words, settle, table, texts
+from .common import in_batches, plain_words, settle, table, texts
 
 WIDTH, PART_WORDS, SAMPLE, SHARD_WORDS = 13, 2_000_000, 8, 1 << 20
 
@@ -210,7 +210,7 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
             yield from flush(rows, shard)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, __n_words long, __spans array<struct<a:long,b:long>>, __items array<string>")
+    return in_batches(docs, run, f"{fields}, __n_words long, __spans array<struct<a:long,b:long>>, __items array<string>")
 
 
 def phrase_parts(benchmark: DataFrame, width: int, part_words: int):

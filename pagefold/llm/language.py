@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, WordHash, answer, ask, blocks, buckets_for, finish, lower, mix, planes, settle, split_buckets, table, texts, unplanes
+from .common import U64, answer, ask, blocks, buckets_for, finish, hashed, in_batches, mix, planes, settle, split_buckets, table, texts, unplanes
 
 SHARE, GAIN, PRIOR, CLASSES = 5e-4, 24.0, 2000.0, 64
-END, START = b"\n", b"\r"
+#: Stand for the hashes of the end and of what is before the first word.
+END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 BLOCK = 1000
 
 
@@ -45,14 +46,15 @@ def held_out(doc_id="doc_id") -> F.Column:
 class Tokens:
     """All tokens of some texts, each with the hashes of its contexts of one and two words."""
 
-    def __init__(self, raw: list[bytes | None], hashes: WordHash):
-        every = [hashes.array([START, START, *lower(text).split(), END]) for text in raw]
-        a = np.concatenate(every) if every else np.empty(0, U64)
-        self.lengths = np.array([len(x) - 2 for x in every], np.int64)
-        real = np.ones(len(a), bool)
-        start = np.cumsum(self.lengths + 2) - self.lengths - 2
-        real[start] = real[start + 1] = False
-        at = np.flatnonzero(real)
+    def __init__(self, raw: list[bytes | None]):
+        words, counts = hashed(raw, fold=True)
+        self.lengths = counts + 1
+        place = np.repeat(3 * np.arange(len(raw)) + 2, counts) + np.arange(len(words))
+        a = np.full(len(words) + 3 * len(raw), START, U64)
+        a[place] = words
+        end = np.cumsum(counts + 3) - 1
+        a[end] = END
+        at = np.sort(np.concatenate((place, end)))
         self.token, self.before, self.two_before = a[at], a[at - 1], a[at - 2]
         self.first = np.cumsum(self.lengths) - self.lengths
 
@@ -62,8 +64,17 @@ class Tokens:
         return mix(self.before + U64(1)) & clear, mix(mix(self.two_before + U64(2)) + self.before) & clear
 
 
+def _unique(keys: np.ndarray, *more: np.ndarray) -> tuple:
+    """(distinct keys, how often, ...); further arrays depend on the key."""
+    if not more:
+        u, n = np.unique(keys, return_counts=True)
+        return u, n.astype(np.int64)
+    u, first, n = np.unique(keys, return_index=True, return_counts=True)
+    return u, n.astype(np.int64), *(x[first] for x in more)
+
+
 def _summed(parts: list[tuple]) -> tuple:
-    """(key, count, ...) arrays with equal keys added up; further arrays depend on the key."""
+    """(key, count, ...) arrays with equal keys added up."""
     keys, counts, *more = (np.concatenate(x) for x in zip(*parts))
     u, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     return u, np.bincount(inverse, counts, len(u)).astype(np.int64), *(x[first] for x in more)
@@ -78,26 +89,21 @@ def _counted(train: DataFrame, keys_of, names: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in cols], names)
 
     def run(batches):
-        hashes, parts = WordHash(), []
+        parts = []
         for batch in batches:
             raw = texts(batch.column(0))
             for at in range(0, len(raw), BLOCK):
-                parts.append(keys_of(Tokens(raw[at : at + BLOCK], hashes)))
+                parts.append(keys_of(Tokens(raw[at : at + BLOCK])))
                 if sum(len(p[0]) for p in parts) > 4_000_000:
                     yield from batches_of(parts)
                     parts = []
         if parts:
             yield from batches_of(parts)
 
-    rows = train.select(F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = in_batches(train.select(F.col("text").cast("string")), run, ", ".join(f"{n} long" for n in names))
     return rows.groupBy(names[0]).agg(F.sum("n").alias("n"), *(F.max(x).alias(x) for x in names[2:]))
 
 
-def _unique(keys: np.ndarray, *more: np.ndarray) -> tuple:
-    u, first, n = np.unique(keys, return_index=True, return_counts=True)
-    return u, n.astype(np.int64), *(x[first] for x in more)
-
-
 class Tree:
     """What is broadcast: retained context ids in order with their counts, and the totals of the root."""
 
@@ -121,7 +127,7 @@ def grow(train: DataFrame, share: float = SHARE, gain: float = GAIN) -> Tree:
         return Tree(np.empty(0, U64), np.empty(0), 0, 0)
     least = share * tokens
     often = np.array([r.w for r in words.filter(F.col("n") >= least).select("w").collect()], np.int64).view(U64)  # at most 1 / share
-    often = spark.sparkContext.broadcast(np.unique(np.append(often, WordHash()[START]).astype(U64)))
+    often = spark.sparkContext.broadcast(np.unique(np.append(often, START)))
 
     def followed(t: Tokens):
         sure = lambda x: often.value[np.minimum(np.searchsorted(often.value, x), len(often.value) - 1)] == x
@@ -157,7 +163,7 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
 
     def keys_of(part):
         """The block's tokens; its distinct keys; where each token and pair stands among them; masks and counts of the contexts found."""
-        t = Tokens(texts(part.column("text")), WordHash())
+        t = Tokens(texts(part.column("text")))
         found = [(c, *sent.value.find(c)) for c in t.contexts()]
         u, inverse = np.unique(np.concatenate([t.token, *(mix(c[hit] + mix(t.token[hit])) for c, hit, _ in found)]), return_inverse=True)
         return t, u, inverse, [(hit, total) for _, hit, total in found]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import plain_words, table, texts
+from .common import in_batches, plain_words, table, texts
 
 LONG, GAP, SHARE = 6, 12, 0.5
 
@@ -220,7 +220,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, types))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
+    return in_batches(docs.select("doc_id", F.col("text").cast("string")), run, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -34,24 +34,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, WordHash, lower, mix, rolling, settle, table, texts
+from .common import U64, hashed, in_batches, mix, rolling, settle, table, texts, windows
 
 WIDTH, SAMPLES, BANDS, BITS = 5, 192, 32, 1024
 #: A link: LINK[0] * intersection >= LINK[1] * union.
 LINK = (100, 85)
-CAP_ROWS, CAP_BYTES, PIVOTS = 20_000, 48 << 20, 32
+CAP_ROWS, CAP_BYTES, PIVOTS = 1000, 48 << 20, 32
 
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _FACTOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
-def shingles(text: bytes | None, hashes: WordHash, width: int = WIDTH) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    ws = lower(text).split()
-    if not ws:
-        return np.empty(0, U64)
-    return np.unique(rolling(hashes.array(ws), min(width, len(ws))) ^ U64(min(width, len(ws))))
+def shingles(raw: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles."""
+    values, counts = hashed(raw, fold=True)
+    h, n = windows(values, counts, width)
+    end, last = np.cumsum(n), np.cumsum(counts)
+    out = []
+    for k in range(len(raw)):
+        if 0 < counts[k] < width:  # the whole sequence is the one shingle
+            out.append(rolling(values[last[k] - counts[k] : last[k]], int(counts[k])) ^ U64(int(counts[k])))
+        else:
+            out.append(np.unique(h[end[k] - n[k] : end[k]]))
+    return out
 
 
 def class_id(s: np.ndarray) -> int:
@@ -111,20 +117,19 @@ def features(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_shingles", "cls", "bands", "sketch"])
 
     def run(batches):
-        hashes = WordHash()
         for batch in batches:
-            ids, sets, held = [], [], 0
+            ids, part, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 ids.append(doc_id)
-                sets.append(shingles(text, hashes))
-                held += len(sets[-1])
-                if held >= 1 << 15:  # stays in the cache
-                    yield rows(ids, sets)
-                    ids, sets, held = [], [], 0
+                part.append(text)
+                held += len(text or b"")
+                if held >= 1 << 18:  # stays in the cache
+                    yield rows(ids, shingles(part))
+                    ids, part, held = [], [], 0
             if ids:
-                yield rows(ids, sets)
+                yield rows(ids, shingles(part))
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_batches(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 class Members:
@@ -185,8 +190,7 @@ def _members(part: pa.Table, columns: list[str], exact: bool):
     """
     sets = []
     if exact:
-        hashes = WordHash()
-        raw = [shingles(t, hashes) for t in texts(part.column("text"))]
+        raw = shingles(texts(part.column("text")))
         good = np.array([class_id(s) for s in raw]) == part.column("id").to_numpy()
         part = part.append_column("row", pa.array(np.arange(len(raw)))).filter(pa.array(good)).drop_columns(["text"])
         sets = raw
@@ -309,11 +313,10 @@ def _unnamed(docs: DataFrame) -> DataFrame:
     """Rows without doc_id."""
 
     def run(batches):
-        hashes = WordHash()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(shingles(t, hashes)) for t in texts(batch.column(0))], pa.int64())], ["n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingles(texts(batch.column(0)))], pa.int64())], ["n_shingles"])
 
-    rows = docs.filter("doc_id IS NULL").select(F.col("text").cast("string")).mapInArrow(run, "n_shingles long")
+    rows = in_batches(docs.filter("doc_id IS NULL").select(F.col("text").cast("string")), run, "n_shingles long")
     return rows.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
 
 

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import in_batches, table
 
 MARK = "▁"
 #: Fixed values of the model format: model types and piece types.
@@ -94,9 +94,13 @@ class Model:
         self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches across words")
-        # no piece has a line feed in it: a further place to cut
+        # further places to cut: line feeds, and between a Latin letter or digit and a mark that follows none in any piece
         cut = "" if any("\n" in p for p in self.ids) else "\n"
-        self.words = re.compile(f"{MARK}+[^{MARK}{cut}]*|{cut or '$.'}+|[^{MARK}{cut}]+").findall
+        latin = "0-9A-Za-z\u00c0-\u024f"
+        after = {p[k] for p in self.ids for k in range(1, len(p)) if re.match(f"[{latin}]", p[k - 1])}
+        marks = "".join(re.escape(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not in after)
+        rest = f"[^{MARK}{cut}{latin}]*[{latin}]*"
+        self.words = re.compile((f"{cut}+|(?=[^{cut}])" if cut else "(?s:(?=.))") + f"{MARK}*{rest}(?:[^{MARK}{cut}{latin}{marks}]{rest})*").findall
         self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.least = min(self.scores) - 10
         # pieces that are a result by themselves, and by their last three characters which lengths there are, longest first
@@ -249,7 +253,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names.slice(at, end - at), pa.array(np.diff(offsets).astype(np.int64)), flat, pa.array(same)], ["doc_id", "n_tokens", "ids", "round_trip"])
                 at = end
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean")
+    return in_batches(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model: Model) -> DataFrame:
@@ -260,7 +264,7 @@ def decode(tokens: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sent.value.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
+    return in_batches(tokens.select("doc_id", "ids"), run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"

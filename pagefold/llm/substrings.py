@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, WordHash, answer, ask, blocks, buckets_for, finish, planes, rolling, split_buckets, table, texts, unplanes, words
+from .common import answer, ask, blocks, buckets_for, finish, hashed, in_batches, planes, split_buckets, table, texts, unplanes, windows, words
 
 WIDTH = 50
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -36,22 +36,16 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 class Windows:
     """The windows of a block, documents in ascending order of doc_id."""
 
-    def __init__(self, part: pa.Table, width: int, hashes: WordHash | None = None):
-        hashes = WordHash() if hashes is None else hashes
+    def __init__(self, part: pa.Table, width: int):
         ids = np.array(part.column("doc_id").to_pylist(), dtype=np.int64)
         self.order = np.argsort(ids, kind="stable")
         raw = texts(part.column("text"))
-        self.lengths, hs, owners = np.zeros(len(ids), np.int64), [], []
-        ranks = np.cumsum(np.diff(ids[self.order], prepend=ids[self.order][:1]) != 0)
-        for rank, k in zip(ranks.tolist(), self.order.tolist()):
-            ws = words(raw[k])
-            self.lengths[k] = len(ws)
-            h = rolling(hashes.array(ws), width)
-            hs.append(h)
-            owners.append(np.full(len(h), rank, np.int32))
-        self.counts = [len(h) for h in hs]
-        self.h = np.concatenate(hs) if hs else np.empty(0, U64)
-        owner = np.concatenate(owners) if owners else np.empty(0, np.int32)
+        values, counts = hashed([raw[k] for k in self.order])
+        self.lengths = np.empty(len(ids), np.int64)
+        self.lengths[self.order] = counts
+        self.h, self.counts = windows(values, counts, width)
+        rank = np.cumsum(np.diff(ids[self.order], prepend=ids[self.order][:1]) != 0)
+        owner = np.repeat(rank.astype(np.int32), self.counts)
         self.sorted = np.argsort(self.h, kind="stable")
         s = self.h[self.sorted]
         first = np.ones(len(s), bool)
@@ -66,7 +60,7 @@ class Windows:
         hit = np.empty(len(self.h), bool)
         hit[self.sorted] = self.inner | earlier[self.run] if len(self.h) else self.inner
         out, at = {}, 0
-        for k, n in zip(self.order.tolist(), self.counts):
+        for k, n in zip(self.order.tolist(), self.counts.tolist()):
             mine = hit[at : at + n]
             at += n
             if mine.any():
@@ -169,7 +163,7 @@ def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield from rows(batch.column(0), raw, [len(words(t)) for t in raw], {}).to_batches()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _repeats(docs, ["doc_id", "text"], width, work, schema).unionByName(docs.filter("doc_id IS NULL").mapInArrow(whole, schema))
+    return _repeats(docs, ["doc_id", "text"], width, work, schema).unionByName(in_batches(docs.filter("doc_id IS NULL"), whole, schema))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
