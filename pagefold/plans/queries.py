@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import codec, hexcode, small
 from ..functions.codec import Method, Reader
-from ..operators import diff, intervals, restore, sections, stats
+from ..operators import diff, intervals, restore, search, sections, stats
 from ..operators import classify as cl
 from . import snapshots as sn
 
@@ -344,10 +344,7 @@ def _whole(inner: str):
 
 
 def signature_scan(spark, sf):
-    """Places of pages that hold a signature: each distinct page is searched once."""
-    pages = _items(spark, sf)[0]
-    found = pages.select("content").distinct().filter(F.col("content").contains("O-001"))
-    return pages.join(found, "content", "left_semi").select("page_nr")
+    return search.signature_scan(_items(spark, sf)[0], F.lit("O-001"))
 
 
 def dump_scan(spark, sf):

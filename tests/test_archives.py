@@ -158,3 +158,24 @@ def test_arrivals(spark, files):
     want = classify(read_pages(spark, str(path / "src"), PAGE), read_pages(spark, str(path / "ref"), PAGE), delta=PAGE, arrow=True)
     key = lambda df: sorted((r.page_nr, r.cls) for r in df.collect())
     assert key(spark.read.parquet(str(path / "out"))) == key(want)
+
+
+def test_command_line(spark, files):
+    from pagefold.__main__ import main
+
+    path, ref, src = files
+    p = lambda name: str(path / name)
+    assert main(["compress", p("ref"), p("src"), p("a"), "--pagesize", "512", "--delta", "--inner", "gzip"], spark) == 0
+    assert main(["decompress", p("a"), p("b")], spark) == 0 and (path / "b").read_bytes() == src
+    assert main(["decompress", p("a"), p("b")], spark) == 1 and main(["decompress", p("a"), p("b"), "--overwrite"], spark) == 0
+    assert main(["intra", p("src"), p("c"), "--pagesize", "512"], spark) == 0 and small.unpack((path / "c").read_bytes()) == src
+    assert main(["whole", p("src"), p("d"), "--inner", "7zip"], spark) == 0 and small.unpack((path / "d").read_bytes()) == src
+    assert main(["decompress", p("src"), p("e")], spark) == 1 and main(["intra", p("none"), p("f")], spark) == 1
+
+
+def test_signature_in_binary_pages(spark, files):
+    from pagefold.operators.search import signature_scan
+
+    path, _, src = files
+    got = signature_scan(read_pages(spark, str(path / "src"), PAGE), F.lit(bytearray(src[1000:1010])))
+    assert sorted(r.page_nr for r in got.collect()) == [1, 40]
