@@ -278,9 +278,11 @@ def components(links: DataFrame) -> DataFrame:
     now = None
     while True:
         both = edges.union(edges.select("u", "v"))
-        low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        # written out, so that the join sees two plain shuffles and Spark can split a hub's partition
+        low = settle(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")))
         large = both.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = settle(large)
+        low = settle(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(low, "v").filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).distinct()
         after = settle(small)
         before, edges = now, after
