@@ -160,7 +160,7 @@ ORACLES = {
     "inter_stats": f"WITH {_DIFF} SELECT " + ", ".join(_stat(n, w) for n, w in (("same", "cls = 'SAME'"), ("moved", "cls = 'DEDUP'"), ("dedup", "cls IN ('SAME', 'DEDUP')"), ("diff", "cls = 'DIFF'"), ("new", "cls = 'NEW'"), ("all", "TRUE"))) + " FROM cls",
     "decode_stats": f"WITH {_DIFF} SELECT " + ", ".join(_stat(n, w) for n, w in (("filled", "cls = 'DEDUP'"), ("same", "cls = 'SAME'"), ("new", "cls = 'NEW'"), ("seen", "cls <> 'DIFF'"))) + ", count(*) FILTER (cls = 'DIFF') AS diff_total FROM cls",
     "intra_stats": f"WITH {_ITEMS}, c AS (SELECT content, count(*) AS n FROM src GROUP BY content) SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS deduped, CAST(sum(n) AS BIGINT) AS pages, count(*) FILTER (n > 1) AS groups, count(*) AS distinct_pages FROM c",
-    "progress": f"WITH {_TEXT} SELECT * FROM (SELECT dump_id, page_nr, 100 * sum(length(content)) OVER (PARTITION BY dump_id ORDER BY page_nr ROWS UNBOUNDED PRECEDING) / sum(length(content)) OVER (PARTITION BY dump_id) AS percent FROM pages) WHERE page_nr % 4 = 0",
+    "progress": f"WITH {_TEXT} SELECT dump_id, page_nr, 100 * sum(length(content)) OVER (PARTITION BY dump_id ORDER BY page_nr ROWS UNBOUNDED PRECEDING) / sum(length(content)) OVER (PARTITION BY dump_id) AS percent FROM pages",
     "diff_apply": f"WITH {_DIFF} SELECT page_nr, content FROM cls WHERE cls = 'DIFF'",
     "reconstruct": f"WITH {_ITEMS} SELECT page_nr, content FROM src",
     "intra_dictionary": f"WITH {_ITEMS} SELECT content, min(page_nr) AS first_nr, count(*) AS n FROM src GROUP BY content HAVING count(*) > 1",

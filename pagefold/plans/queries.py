@@ -168,7 +168,7 @@ def progress(spark, sf):
     pages = sn.text_pages(spark, sf).withColumn("n", F.length("content"))
     upto = Window.partitionBy("dump_id").orderBy("page_nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("dump_id")
-    return pages.select("dump_id", "page_nr", (100 * F.sum("n").over(upto) / F.sum("n").over(whole)).alias("percent")).filter("page_nr % 4 = 0")
+    return pages.select("dump_id", "page_nr", (100 * F.sum("n").over(upto) / F.sum("n").over(whole)).alias("percent"))
 
 
 def diff_apply(spark, sf):
