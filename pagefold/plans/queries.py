@@ -178,7 +178,7 @@ def diff_apply(spark, sf):
 
 def reconstruct(spark, sf):
     src, ref = _items(spark, sf)
-    classified = _delta(spark, sf)
+    classified = _delta(spark, sf).persist()  # three sections are made of it
     return restore.reconstruct(src.count(), ref, sections.dedup_section(classified), sections.diff_section(classified), sections.new_section(classified))
 
 
@@ -276,7 +276,7 @@ def msg_padding(spark, sf):
 
 
 def archive_sections(spark, sf):
-    classified = _delta(spark, sf)
+    classified = _delta(spark, sf).persist()
     span = F.col("right") - F.col("left")
     width = F.when(span == 0, 4).when(span < 256, 5).when(span < 65536, 6).otherwise(8)
     row = lambda df, name, size: df.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes")).select(F.lit(name).alias("section"), "entries", "bytes")

@@ -63,7 +63,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dump_id, page_nr, content): every document in pages of 64 characters, the tail kept short."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("dump_id"), "text").filter("length(text) > 0")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / TEXT_PAGE)), lambda p: F.substr("text", p * TEXT_PAGE + 1, F.lit(TEXT_PAGE)))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{TEXT_PAGE}}}"), F.lit(0))  # one walk; substr would start over for each page
     return docs.select("dump_id", F.posexplode(cut).alias("page_nr", "content")).withColumn("page_nr", F.col("page_nr").cast("long"))
 
 
