@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..operators.diff import find_patches
 from . import codec
-from .codec import Method, Reader
+from .codec import Method
 
 
 def pages_of(raw: bytes, pagesize: int) -> list[bytes]:
