@@ -24,7 +24,6 @@ through or ignored.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import chain
 
 import numpy as np

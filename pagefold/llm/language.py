@@ -25,15 +25,13 @@ uniform predictions; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import U64, answer, ask, blocks, buckets_for, finish, hashed, in_batches, mix, planes, settle, split_buckets, table, texts, unplanes
 
-SHARE, GAIN, PRIOR, CLASSES = 2e-4, 24.0, 2000.0, 64
+SHARE, GAIN, PRIOR, CLASSES = 1e-4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 BLOCK = 1000

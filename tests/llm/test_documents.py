@@ -10,7 +10,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pagefold.llm import classifier, contamination, language, licenses, near, pieces, rules, substrings
 from pagefold.llm.common import plain_words, rolling
