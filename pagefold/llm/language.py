@@ -1,21 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens are a text's lower-cased words and one end.  The tree predicts a token
-from the longest retained context of up to two words before it.  A context is
-retained if it makes up a share of at least ``SHARE`` of all training tokens
-and its next-token distribution diverges from that of its suffix: over hashed
-classes of next tokens, by ``GAIN`` nats beyond what chance would give (classes
-can only hide divergence, so the test is on the safe side).  Retained contexts
-are closed under suffixes.  Distributions are smoothed towards the suffix's,
-down to the root, which is the base model.
-
-All training documents are counted, in three passes: words, contexts by class
-of next token, and the next tokens of retained contexts.  ``SHARE`` bounds the
-contexts of each length by 1/SHARE for a corpus of any size, which is all that
-is broadcast.  The counts that a block's documents need come by ``exchange``
-(see ``common``): its distinct words and (context, token) pairs go to hash
-buckets with their training counts, and the corpus's sums come back in the same
-order, so a word or pair that every document has is sent once a block.
+from the longest retained context of up to ``DEPTH`` words before it.  A context
+is retained if it occurs ``LEAST`` times in the training texts and its
+next-token distribution diverges from that of its suffix: over hashed classes
+of next tokens, by ``GAIN`` nats beyond what chance would give (classes can only
+hide divergence, so the test is on the safe side).  ``LEAST`` is a number of
+times, not a share, so the tree grows with the corpus.  Retained contexts are
+closed under suffixes.  Distributions are smoothed towards the suffix's, down to
+the root, which is the base model.
+
+All training documents are counted.  The tree is a table and never in one
+place: blocks of documents ask hash buckets (see ``common``) three times.  First
+for the contexts that occur often enough, by 40 bits of their hashes, which may
+let some rarer ones through; then those contexts' exact counts by class of next
+token go to the buckets, which make the table of candidates; last, each block
+sends its distinct words, (context, token) pairs and candidate contexts, and
+gets the corpus's counts and the totals of those retained in the same order.  A
+word or pair that every document has is sent once a block.
 
 Defined results: a null text is empty: only its end is scored; a null doc_id
 counts as the empty string for the split; repeated rows are scored alike and
@@ -25,16 +27,21 @@ uniform predictions; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import time
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, answer, ask, blocks, buckets_for, finish, hashed, in_batches, mix, planes, settle, split_buckets, table, texts, unplanes
+from .common import ASK, REPLY, U64, answer, ask, ask_rows, blocks, buckets_for, finish, hashed, in_batches, mix, planes, reply_rows, settle, split_buckets, table, texts, unplanes
 
-SHARE, GAIN, PRIOR, CLASSES = 1e-4, 24.0, 2000.0, 64
+LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 BLOCK = 1000
+_ODD, _CONTEXT, _SHORT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES), U64(24)
 
 
 def held_out(doc_id="doc_id") -> F.Column:
@@ -42,24 +49,28 @@ def held_out(doc_id="doc_id") -> F.Column:
 
 
 class Tokens:
-    """All tokens of some texts, each with the hashes of its contexts of one and two words."""
+    """All tokens of some texts, each with the hashes of its contexts of one to ``depth`` words."""
 
-    def __init__(self, raw: list[bytes | None]):
+    def __init__(self, raw: list[bytes | None], depth: int = 2):
         words, counts = hashed(raw, fold=True)
         self.lengths = counts + 1
-        place = np.repeat(3 * np.arange(len(raw)) + 2, counts) + np.arange(len(words))
-        a = np.full(len(words) + 3 * len(raw), START, U64)
-        a[place] = words
-        end = np.cumsum(counts + 3) - 1
-        a[end] = END
-        at = np.sort(np.concatenate((place, end)))
-        self.token, self.before, self.two_before = a[at], a[at - 1], a[at - 2]
+        self._depth = depth
+        place = np.repeat((depth + 1) * np.arange(len(raw)) + depth, counts) + np.arange(len(words))
+        self._all = np.full(len(words) + (depth + 1) * len(raw), START, U64)
+        self._all[place] = words
+        end = np.cumsum(counts + depth + 1) - 1
+        self._all[end] = END
+        self._at = np.sort(np.concatenate((place, end)))
+        self.token = self._all[self._at]
         self.first = np.cumsum(self.lengths) - self.lengths
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the contexts of one and of two words; the low bits are free for a class."""
-        clear = U64((1 << 64) - CLASSES)
-        return mix(self.before + U64(1)) & clear, mix(mix(self.two_before + U64(2)) + self.before) & clear
+    def contexts(self) -> list[np.ndarray]:
+        """Ids of the contexts of one word, two words and so on; the low bits are free for a class."""
+        out, h = [], np.zeros(len(self.token), U64)
+        for k in range(1, self._depth + 1):
+            h = mix(h * _ODD + self._all[self._at - k] + U64(k))
+            out.append(h & _CONTEXT)
+        return out
 
 
 def _unique(keys: np.ndarray, *more: np.ndarray) -> tuple:
@@ -103,49 +114,136 @@ def _counted(train: DataFrame, keys_of, names: list[str]) -> DataFrame:
 
 
 class Tree:
-    """What is broadcast: retained context ids in order with their counts, and the totals of the root."""
-
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        self.contexts, self.counts, self.tokens, self.distinct = contexts, counts, tokens, distinct
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which ids are retained, and the counts of those."""
-        if not len(self.contexts):
-            return np.zeros(len(ids), bool), np.empty(0)
-        at = np.minimum(np.searchsorted(self.contexts, ids), len(self.contexts) - 1)
-        found = self.contexts[at] == ids
-        return found, self.counts[at[found]]
-
-
-def grow(train: DataFrame, share: float = SHARE, gain: float = GAIN) -> Tree:
-    spark = train.sparkSession
-    words = settle(_counted(train, lambda t: _unique(t.token), ["w", "n"]))
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    if not tokens:
-        return Tree(np.empty(0, U64), np.empty(0), 0, 0)
-    least = share * tokens
-    often = np.array([r.w for r in words.filter(F.col("n") >= least).select("w").collect()], np.int64).view(U64)  # at most 1 / share
-    often = spark.sparkContext.broadcast(np.unique(np.append(often, START)))
-
-    def followed(t: Tokens):
-        sure = lambda x: often.value[np.minimum(np.searchsorted(often.value, x), len(often.value) - 1)] == x
-        one, two = t.contexts()
-        group = t.token & U64(CLASSES - 1)
-        v = sure(t.before)
-        uv = v & sure(t.two_before)
-        return _unique(np.concatenate(((one | group)[v], (two | group)[uv])), np.concatenate((np.zeros(int(v.sum()), U64), one[uv])))
-
-    low = f"{CLASSES - 1}L"
-    pairs = settle(_counted(train, followed, ["key", "n", "suffix"]).select(F.expr(f"key & ~{low}").alias("context"), F.expr(f"key & {low}").alias("class"), "n", "suffix"))
-    totals = pairs.groupBy("context").agg(F.sum("n").alias("total"))
-    root = words.groupBy(F.expr(f"w & {low}").alias("class")).agg(F.sum("n").alias("sn")).select(F.lit(0).cast("long").alias("s"), "class", "sn", F.lit(tokens).cast("long").alias("st"))
-    upper = pairs.filter("suffix = 0").join(totals, "context").select(F.col("context").alias("s"), "class", F.col("n").alias("sn"), F.col("total").alias("st"))
-    known = pairs.join(totals.filter(F.col("total") >= least), "context").withColumnRenamed("suffix", "s").join(root.union(upper), ["s", "class"])
-    surely = known.groupBy("context", "s", "total").agg(F.sum(F.expr("n * ln((n / total) / (sn / st))")).alias("d")).filter(F.col("d") - (CLASSES - 1) / 2 >= gain)
-    kept = surely.select("context").union(surely.filter("s <> 0").select("s")).distinct().join(totals, "context").collect()  # at most 1 / share of each length
-    ids = np.array([r.context for r in kept], np.int64).view(U64)
-    order = np.argsort(ids)
-    return Tree(ids[order], np.array([r.total for r in kept], np.float64)[order], int(tokens), int(distinct))
+    """The retained contexts, a table (context, total), and the totals of the root."""
+
+    def __init__(self, kept: DataFrame, tokens: int, distinct: int, least: int, depth: int):
+        self.kept, self.tokens, self.distinct, self.least, self.depth = kept, tokens, distinct, least, depth
+
+    @cached_property
+    def contexts(self) -> np.ndarray:
+        """Ids in order; collected, for trees of small corpora only."""
+        return np.sort(np.array([r.context for r in self.kept.select("context").collect()], np.int64).view(U64))
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray]:
+        """Which ids are retained; as ``contexts`` for small trees only."""
+        return (np.isin(ids, self.contexts),)
+
+
+def _free(spark) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+
+
+class Blocks:
+    """Blocks of documents (doc_id, text, held_out), with the contexts that occur often in those not held out."""
+
+    def __init__(self, docs: DataFrame, least: int, depth: int):
+        if not 0 < least < 256:
+            raise ValueError("least is from 1 to 255")
+        self.spark, self.least, self.depth = docs.sparkSession, least, depth
+        blocked, n = blocks(docs, docs.columns, BLOCK)
+        self.blocked = blocked.withColumn("__g", F.coalesce("__g", F.expr("-1 - pmod(xxhash64(text), 1024)")))  # rows without doc_id are spread
+        self.buckets = buckets_for(depth * n)
+        self.often = self._often()
+
+    def _often(self) -> DataFrame:
+        """Replies with a bit for each context of a block, by the leading bits of its hash."""
+        depth, least, n_buckets = self.depth, self.least, self.buckets
+
+        def emit(g, part):
+            t, _, u, inverse = _contexts(part, depth)
+            c = np.bincount(inverse[np.tile(_learnt(t, part), depth)], minlength=len(u))
+            c = np.minimum(c, least).astype(np.uint8)  # sums reach ``least`` as those of the full counts do
+            return [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
+
+        def counts(r):
+            m = len(r["keys"]) // 5
+            c = np.unpackbits(np.frombuffer(r["extra"], np.uint8, -(-m // 8)), count=m)
+            c[c == 0] = np.frombuffer(r["extra"], np.uint8, offset=-(-m // 8))
+            return c
+
+        def resolve(bucket, rows):
+            keys = [unplanes(r["keys"] + bytes(len(r["keys"]) // 5 * 3)) for r in rows]
+            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(inverse, np.concatenate([counts(r) for r in rows]), len(u)) >= least
+            ends = np.cumsum([len(k) for k in keys])
+            return [(r["__g"], bucket, "often", np.packbits(c[inverse[e - len(k) : e]]).tobytes()) for r, k, e in zip(rows, keys, ends)]
+
+        return settle(answer(ask(self.blocked, emit), resolve))
+
+    def candidates(self) -> DataFrame:
+        """(context, class, n, total, s): counts by class of next token of all contexts that occur ``least`` times; s is the suffix."""
+        depth, least, n_buckets = self.depth, self.least, self.buckets
+        _free(self.spark)
+
+        def work(part, by):
+            t, ids, hits = _found(part, by, depth, n_buckets)
+            hits = [hit & _learnt(t, part) for hit in hits]
+            group = t.token & ~_CONTEXT
+            u, c = _unique(np.concatenate([(x | group)[hit] for x, hit in zip(ids, hits)]))
+            v, first = np.unique(np.concatenate([x[hit] for x, hit in zip(ids[1:], hits[1:])]), return_index=True) if depth > 1 else (np.empty(0, U64), None)
+            s = np.concatenate([x[hit] for x, hit in zip(ids, hits[1:])])[first] if depth > 1 else v
+            out = [(b, 0, "class", planes(u[i:j]), c[i:j].astype(np.uint32).tobytes()) for b, i, j in split_buckets(u, n_buckets)]
+            return ask_rows(out + [(b, 0, "suffix", planes(v[i:j]), s[i:j].tobytes()) for b, i, j in split_buckets(v, n_buckets)])
+
+        def run(key, part):
+            rows = part.to_pylist()
+            each = lambda kind, dtype: [(unplanes(r["keys"]), np.frombuffer(r["extra"], dtype)) for r in rows if r["kind"] == kind]
+            u, n = _summed(each("class", np.uint32))
+            contexts, inverse = np.unique(u & _CONTEXT, return_inverse=True)
+            total = np.bincount(inverse, n, len(contexts)).astype(np.int64)
+            s = np.zeros(len(contexts), U64)
+            if above := each("suffix", U64):
+                v, first = np.unique(np.concatenate([x for x, _ in above]), return_index=True)
+                s[np.searchsorted(contexts, v)] = np.concatenate([x for _, x in above])[first]
+            keep = total[inverse] >= least
+            cols = (contexts[inverse].view(np.int64), (u & ~_CONTEXT).view(np.int64), n, total[inverse], s[inverse].view(np.int64))
+            return pa.table([pa.array(x[keep]) for x in cols], names=["context", "class", "n", "total", "s"])
+
+        return settle(finish(self.blocked, self.often, work, ASK).groupBy("__b").applyInArrow(run, "context long, class long, n long, total long, s long"))
+
+    def grow(self, share: float = 0.0, gain: float = GAIN) -> Tree:
+        words = settle(_counted(self.blocked.filter("NOT held_out"), lambda t: _unique(t.token), ["w", "n"]))
+        tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        root = words.groupBy(F.expr(f"w & {CLASSES - 1}L").alias("class")).agg(F.sum("n").alias("sn")).select(F.lit(0).cast("long").alias("s"), "class", "sn", F.lit(tokens).cast("long").alias("st"))
+        pairs = self.candidates().filter(F.col("total") >= share * tokens)
+        upper = pairs.select(F.col("context").alias("s"), "class", F.col("n").alias("sn"), F.col("total").alias("st"))
+        known = pairs.join(root.union(upper), ["s", "class"])
+        surely = known.groupBy("context", "total", "s").agg(F.sum(F.expr("n * ln((n / total) / (sn / st))")).alias("d")).filter(F.col("d") - (CLASSES - 1) / 2 >= gain)
+        level = surely.select("context", "total", "s")
+        kept, links = level, pairs.select("context", "total", "s").distinct()
+        for _ in range(self.depth - 1):
+            level = links.join(level.filter("s <> 0").select(F.col("s").alias("context")).distinct(), "context")
+            kept = kept.union(level)
+        return Tree(settle(kept.select("context", "total").distinct()), int(tokens), int(distinct), self.least, self.depth)
+
+
+def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
+    return np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), t.lengths)
+
+
+def _contexts(part: pa.Table, depth: int) -> tuple:
+    """Tokens; the ids of their contexts by length; the distinct leading bits of all ids; where each id's stand among them."""
+    t = Tokens(texts(part.column("text")), depth)
+    ids = t.contexts()
+    return t, ids, *np.unique(np.concatenate(ids) >> _SHORT << _SHORT, return_inverse=True)
+
+
+def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
+    """Tokens; the ids of their contexts by length; masks of those that occur often, as do then their suffixes."""
+    t, ids, u, inverse = _contexts(part, depth)
+    often = np.zeros(len(u), bool)
+    for b, i, j in split_buckets(u, n_buckets):
+        often[i:j] = np.unpackbits(np.frombuffer(by["often", b], np.uint8), count=j - i)
+    return t, ids, list(np.logical_and.accumulate(often[inverse].reshape(depth, -1)))
+
+
+def grow(train: DataFrame, share: float = 0.0, gain: float = GAIN, least: int = LEAST, depth: int = DEPTH) -> Tree:
+    """The tree of some texts; ``share`` raises the least count to that share of all tokens."""
+    return Blocks(train.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(False).alias("held_out")), least, depth).grow(share, gain)
 
 
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -154,55 +252,72 @@ COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
-    sent = docs.sparkSession.sparkContext.broadcast(tree or grow(docs.filter(~held_out())))
-    blocked, n = blocks(docs, docs.columns, BLOCK)
-    blocked = blocked.withColumn("__g", F.coalesce("__g", F.expr("-1 - pmod(xxhash64(text), 1024)")))  # rows without doc_id are spread
-    n_buckets = buckets_for(2 * n)
-
-    def keys_of(part):
-        """The block's tokens; its distinct keys; where each token and pair stands among them; masks and counts of the contexts found."""
-        t = Tokens(texts(part.column("text")))
-        found = [(c, *sent.value.find(c)) for c in t.contexts()]
-        u, inverse = np.unique(np.concatenate([t.token, *(mix(c[hit] + mix(t.token[hit])) for c, hit, _ in found)]), return_inverse=True)
-        return t, u, inverse, [(hit, total) for _, hit, total in found]
-
-    def emit(g, part):
-        t, u, inverse, found = keys_of(part)
-        learnt = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), t.lengths)
-        learnt = np.concatenate([learnt, *(learnt[hit] for hit, _ in found)])
-        c = np.bincount(inverse[learnt], minlength=len(u)).astype(np.uint32)
-        return [(b, g, "count", planes(u[i:j]), c[i:j].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
-
-    def resolve(bucket, rows):
-        keys = [unplanes(r["keys"]) for r in rows]
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(inverse, np.concatenate([np.frombuffer(r["extra"], np.uint32) for r in rows]), len(u)).astype(np.int64)
-        out, at = [], 0
-        for r, k in zip(rows, keys):
-            mine = c[inverse[at : at + len(k)]]
-            out.append((r["__g"], bucket, "count", (mine.astype(np.uint32) if mine.max() < 1 << 32 else mine).tobytes()))
-            at += len(k)
-        return out
-
-    def work(part, by):
-        t, u, inverse, found = keys_of(part)
+    dealt = Blocks(docs, tree.least if tree else LEAST, tree.depth if tree else DEPTH)
+    tree = tree or dealt.grow()
+    _free(docs.sparkSession)
+    depth, n_buckets, tokens, distinct = dealt.depth, dealt.buckets, tree.tokens, tree.distinct
+
+    def keys_of(part, by):
+        """Tokens; masks of contexts; distinct words and pairs, distinct contexts, and where each stands among them."""
+        t, ids, hits = _found(part, by, depth, n_buckets)
+        both = [t.token, *(mix(x[hit] + mix(t.token[hit])) for x, hit in zip(ids, hits))]
+        return t, hits, *np.unique(np.concatenate(both), return_inverse=True), *np.unique(np.concatenate([x[hit] for x, hit in zip(ids, hits)]), return_inverse=True)
+
+    def emit(part, by):
+        t, hits, u, inverse, v, _ = keys_of(part, by)
+        learnt = _learnt(t, part)
+        c = np.bincount(inverse[np.concatenate([learnt, *(learnt[hit] for hit in hits)])], minlength=len(u)).astype(np.uint32)
+        g = part.column("__g")[0].as_py()
+        out = [(b, g, "count", planes(u[i:j]), c[i:j].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
+        return ask_rows(out + [(b, g, "total", planes(v[i:j]), b"") for b, i, j in split_buckets(v, n_buckets)])
+
+    def resolve(key, asked, retained):
+        out = []
+        for kind in ("count", "total"):
+            rows = [r for r in asked.to_pylist() if r["kind"] == kind]
+            if not rows:
+                continue
+            keys = [unplanes(r["keys"]) for r in rows]
+            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            if kind == "count":
+                c = np.bincount(inverse, np.concatenate([np.frombuffer(r["extra"], np.uint32) for r in rows]), len(u)).astype(np.int64)
+            else:
+                c, contexts = np.zeros(len(u), np.int64), retained.column("context").to_numpy().view(U64)
+                at = np.searchsorted(u, contexts)
+                here = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == contexts)
+                c[at[here]] = retained.column("total").to_numpy()[here]
+            at = 0
+            for r, k in zip(rows, keys):
+                mine = c[inverse[at : at + len(k)]]
+                out.append((r["__g"], key[0].as_py(), kind, (mine.astype(np.uint32) if mine.max() < 1 << 32 else mine).tobytes()))
+                at += len(k)
+        return reply_rows(out)
+
+    def read(by, kind, u):
         c = np.zeros(len(u))
         for b, i, j in split_buckets(u, n_buckets):
-            c[i:j] = np.frombuffer(by["count", b], np.uint32 if len(by["count", b]) == 4 * (j - i) else np.int64)
-        c = c[inverse]
-        model, n = sent.value, len(t.token)
+            c[i:j] = np.frombuffer(by[kind, b], np.uint32 if len(by[kind, b]) == 4 * (j - i) else np.int64)
+        return c
+
+    def work(part, by):
+        t, hits, u, inverse, v, place = keys_of(part, by)
+        c, totals, n = read(by, "count", u)[inverse], read(by, "total", v)[place], len(t.token)
         known, at = c[:n] > 0, n
-        p = base = (c[:n] + 1) / (model.tokens + model.distinct + 1)
-        for hit, total in found:
-            m = len(total)
-            p = p.copy()
-            p[hit] = (c[at : at + m] + prior * p[hit]) / (total + prior)
-            at += m
+        p = base = (c[:n] + 1) / (tokens + distinct + 1)
+        for hit in hits:
+            hit = np.flatnonzero(hit)
+            count, total = c[at : at + len(hit)], totals[at - n : at - n + len(hit)]
+            kept, at = total > 0, at + len(hit)
+            p, hit = p.copy(), hit[kept]
+            p[hit] = (count[kept] + prior * p[hit]) / (total[kept] + prior)
         add = lambda x: np.add.reduceat(x, t.first)
-        cols = [part.column("doc_id"), part.column("held_out"), t.lengths, add(known.astype(np.int64)), np.full(len(t.lengths), model.tokens), add(np.log10(base)), add(np.log10(p))]
+        cols = [part.column("doc_id"), part.column("held_out"), t.lengths, add(known.astype(np.int64)), np.full(len(t.lengths), tokens), add(np.log10(base)), add(np.log10(p))]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in cols], names=[x.split()[0] for x in COLUMNS.split(", ")])
 
-    return finish(blocked, answer(ask(blocked, emit), resolve), work, COLUMNS)
+    bits = n_buckets.bit_length() - 1
+    retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - bits).cast("int"))
+    replies = finish(dealt.blocked, dealt.often, emit, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(resolve, REPLY)
+    return finish(dealt.blocked, dealt.often.union(replies), work, COLUMNS)
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:

@@ -297,6 +297,17 @@ def test_language_model_contexts(spark):
     assert better > 0
 
 
+def test_language_model_grows(spark):
+    """A context seen a few times is retained in a large corpus too, and one of three words."""
+    filler = " ".join(f"w{k}" for k in range(400_000))
+    texts = [filler, *["rare follows"] * 30, *[f"x{k % 4} m m y{k % 4}" for k in range(400)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = language.grow(df)
+    deep = language.Tokens([b"rare follows", b"x1 m m y1"], 3)
+    one, _, three = (tree.find(c)[0] for c in deep.contexts())
+    assert one[1] and three[6]
+
+
 def test_classifier(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     got = classifier.classify(docs, labels)
