@@ -152,29 +152,42 @@ class Scanner:
             matches.append((len(codes) - before[0], len(codes), before[1]))
         return base, matches
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[int, list[tuple[int, int]]]]:
-        """template -> (words covered, spans of the file) of its best chain; matches are in file order."""
+    def chains(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, list[tuple[int, int]]]]]:
+        """template -> (words covered, spans of the file) of its best chain, and of each further one that reaches the share and overlaps none before; matches are in file order."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for a, b, state in matches:
             for k, place in self.places[state]:
                 by.setdefault(k, []).append((a, b, place + 1 - (b - a)))
-        out = {}
-        for k, found in by.items():
-            best: list[tuple[int, list]] = []
-            for i, (a, b, t) in enumerate(found):
-                top = (b - a, [(a, b)])
-                for j in range(i - 1, -1, -1):
-                    a2, b2, t2 = found[j]
-                    if a - b2 > self.gap + len(self.sequences[k]):
-                        break
-                    u2 = t2 + b2 - a2
-                    over = max(0, b2 - a, u2 - t)  # words that both would count
-                    if a2 < a and t2 < t and a - b2 <= self.gap and t - u2 <= self.gap and over < b - a and best[j][0] + b - a - over > top[0]:
-                        top = (best[j][0] + b - a - over, [*best[j][1], (a + over, b)])
-                best.append(top)
-            out[k] = max(best, key=lambda x: x[0])
+        out: dict[int, list] = {}
+        for k, whole in by.items():
+            left = [whole]
+            while left:
+                covered, where = self._chain(k, found := left.pop())
+                if k in out and covered < self.share * len(self.sequences[k]):
+                    continue
+                out.setdefault(k, []).append((covered, where))
+                first, last = where[0][0], where[-1][1]
+                before = [(a, min(b, first), t) for a, b, t in found if a < first]
+                after = [(max(a, last), b, t + max(a, last) - a) for a, b, t in found if b > last]
+                left += [x for x in (before, after) if x]
         return out
 
+    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+        """The best chain of some matches (from, to, place in the template) with template ``k``."""
+        best: list[tuple[int, list]] = []
+        for i, (a, b, t) in enumerate(found):
+            top = (b - a, [(a, b)])
+            for j in range(i - 1, -1, -1):
+                a2, b2, t2 = found[j]
+                if a - b2 > self.gap + len(self.sequences[k]):
+                    break
+                u2 = t2 + b2 - a2
+                over = max(0, b2 - a, u2 - t)  # words that both would count
+                if a2 < a and t2 < t and a - b2 <= self.gap and t - u2 <= self.gap and over < b - a and best[j][0] + b - a - over > top[0]:
+                    top = (best[j][0] + b - a - over, [*best[j][1], (a + over, b)])
+            best.append(top)
+        return max(best, key=lambda x: x[0])
+
     def scan(self, ws: list[bytes]) -> dict:
         get = self.vocabulary.get
         t = np.fromiter((get(w, 0) for w in ws), np.int32, len(ws))
@@ -191,12 +204,13 @@ class Scanner:
                 base += [(a + s, self.phrases[k][1]) for s, k in x]
                 matches += [(a + i, a + j, s) for i, j, s in y]
         spans, labels, score = [], {label for _, label in base}, 1.0 if base else 0.0
-        for k, (covered, where) in self.chains(matches).items():
-            part = min(1.0, covered / len(self.sequences[k]))
-            score = max(score, part)
-            if part >= self.share:
-                labels.add(self.labels[k])
-                spans += [(self.labels[k], a, b) for a, b in where]
+        for k, found in self.chains(matches).items():
+            for covered, where in found:
+                part = min(1.0, covered / len(self.sequences[k]))
+                score = max(score, part)
+                if part >= self.share:
+                    labels.add(self.labels[k])
+                    spans += [(self.labels[k], a, b) for a, b in where]
         return {"base": base, "labels": sorted(labels), "score": score, "spans": sorted(set(spans))}
 
 

@@ -247,6 +247,18 @@ def test_matching_statistics():
         assert label in found["labels"], label
 
 
+def test_licenses_copies():
+    """Each copy of a licence text has its spans."""
+    scanner = licenses.Scanner()
+    label, text = next(x for x in licenses.TEMPLATES if len(plain_words(x[1].encode())) >= 20)
+    n = len(plain_words(text.encode()))
+    found = scanner.scan(plain_words(f"{text} {'other ' * 300} {text} {'other ' * 300} {text}".encode()))
+    words = {w for x, a, b in found["spans"] if x == label for w in range(a, b)}
+    for start in (0, n + 300, 2 * (n + 300)):
+        assert len(words & set(range(start, start + n))) >= 0.9 * n
+    assert len(words) <= 3 * n
+
+
 def test_language_model(spark):
     docs = frame(spark)
     got = language.score(docs, None).collect()
