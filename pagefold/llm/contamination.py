@@ -24,9 +24,11 @@ through or ignored.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -257,6 +259,33 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return judged(find_passages(docs, benchmark)).filter("NOT contaminated").select(*docs.columns)
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")  # as ``plain_words``
+
+
+def cut(text: str | None, first: list[int], last: list[int]) -> str | None:
+    """``text`` without the words of some merged spans and what is between them."""
+    if not text or not len(first):
+        return text
+    raw = text.encode()
+    at = [m.span() for m in _WORD.finditer(raw)]
+    out, done = [], 0
+    for a, b in zip(first, last):
+        out.append(raw[done : at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*out, raw[done:]]).decode()
+
+
+def cut_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` with the merged benchmark spans cut out of all texts; other columns are as they are."""
+
+    @F.pandas_udf("string")
+    def shorter(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([cut(*x) for x in zip(text, first, last)], dtype=object)
+
+    found = find_passages(docs, benchmark)
+    return found.withColumn("text", shorter(F.col("text").cast("string"), F.col("__spans")["a"], F.col("__spans")["b"])).select(*docs.columns)
+
+
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     found = judged(find_passages(docs, table(spark, sf_dir, "benchmark")))

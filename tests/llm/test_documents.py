@@ -247,6 +247,17 @@ def test_matching_statistics():
         assert label in found["labels"], label
 
 
+def test_decontamination_cuts_passages(spark):
+    """A long document below a twentieth keeps its own words and loses the benchmark's."""
+    item = "Which of the seven rivers named here is the longest one, when all are measured by hand?"
+    own = " ".join(f"é{k}" for k in range(600))
+    docs = spark.createDataFrame([(1, f"{own} ({item}) {own}"), (2, None), (3, own)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("q1", item)], "item_id string, text string")
+    assert contamination.drop_contaminated(docs, benchmark).count() == 3
+    got = {r.doc_id: r.text for r in contamination.cut_passages(docs, benchmark).collect()}
+    assert got == {1: f"{own} (?) {own}", 2: None, 3: own}
+
+
 def test_licenses_copies():
     """Each copy of a licence text has its spans."""
     scanner = licenses.Scanner()
