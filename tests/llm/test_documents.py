@@ -160,6 +160,68 @@ def test_near_duplicates_of_chains(spark):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(df, *caps).collect()) == want
 
 
+def test_keep_first_keeps_texts_that_share_a_doc_id(spark):
+    a, b = prose(31, 60), prose(32, 60)
+    docs = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 2), (None, a, 3), (7, None, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __id long")
+    assert sorted((tuple(r) for r in near.keep_first(df).collect()), key=repr) == sorted((x for x in docs if x[2] != 1), key=repr)
+
+
+def test_near_duplicates_at_another_similarity(spark):
+    """Pairs on both sides of 80 %: of 100 shingles, 5 k differ."""
+    docs = []
+    for k in range(1, 7):
+        own = [f"a{k}_{j}" for j in range(104)]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: 104 - 2 * k - 4] + [f"b{k}_{j}" for j in range(2 * k + 4)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {}
+    for x, y in zip(docs[::2], docs[1::2]):
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x[1].split(), y[1].split()))
+        want[x[0]] = 100 * len(s & t) >= 80 * len(s | t)
+    assert 0 < sum(want.values()) < 6
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(df, percent=80).collect()}
+    assert {d: got[d + 1] == d for d in want} == want
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Of pairs just above the threshold nearly all share a band and pass the sketch."""
+    r = np.random.default_rng(7)
+    for percent in (80, 85):
+        rows_, found = near.band_rows(percent), 0
+        for _ in range(400):
+            both = r.integers(0, 1 << 63, 400).astype(np.uint64)
+            m = int(400 * (100 - percent) / (100 + percent))
+            a, b = (np.unique(np.concatenate((both[: 400 - m], r.integers(0, 1 << 63, m).astype(np.uint64)))) for _ in range(2))
+            mins = near.minhash([a, b])
+            keys, s = near.band_keys(mins, rows_), near.odd_sketch(mins)
+            found += bool((keys[0] == keys[1]).any()) and int(np.bitwise_count(s[0] ^ s[1]).sum()) <= near.most_bits(percent)
+        assert found >= 0.99 * 400
+
+
+def test_components(spark, monkeypatch):
+    """Chains, hubs and repeated links, dealt over many tasks."""
+    r = np.random.default_rng(3)
+    chain, hub = r.permutation(300), 1000
+    pairs = [(int(x), int(y)) for x, y in zip(chain, chain[1:])] + [(k, k + 1) for k in range(400, 600)] + [(hub, 1001 + k) for k in range(500)] + [(2000 + k, 1400 + k) for k in range(50)]
+    pairs += pairs[:50]
+    parent = {v: v for p in pairs for v in p}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    links = spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long").repartition(16)
+    for at_once in (1 << 20, 4):
+        monkeypatch.setattr(near, "LINKS_AT_ONCE", at_once)
+        got = near.components(links).collect()
+        assert sorted((x.id, x.label) for x in got) == sorted((v, find(v)) for v in parent)
+    assert near.components(links.limit(0)).count() == 0
+
+
 def test_odd_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     errors = []

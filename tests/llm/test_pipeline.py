@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, small):
             assert docs.columns == names, name
         if name == "near_dedup":
             left = {r.doc_id for r in docs.select("doc_id").collect()}
-            assert left == {r.doc_id for r in near.near_duplicates(before).collect() if r.kept}
+            assert left == {r.doc_id for r in near.near_duplicates(before, percent=near.STAGE_PERCENT).collect() if r.kept}
         if name == "substring_dedup":
             assert docs.count() == before.count() and docs.filter("n_chars <> length(text)").count() == 0
             assert docs.exceptAll(before).count() == substrings.removal_digest(before).filter("n_removed > 0").count()
