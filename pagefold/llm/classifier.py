@@ -7,16 +7,20 @@ document keeps the largest, the smallest and the mean of its chunks' maxima: a
 large one shows a pattern somewhere, a small one a chunk without variety, such
 as one word repeated.  A small hidden layer combines them into one probability.
 
-Training fits on a sample of labelled rows bounded by ``sample`` (6000 by
-default), the first by a hash of doc_id, never rows of the held-out fold; it
-runs on the driver and takes the same time for a corpus of any size.  Scoring
-is one pass over all texts without a shuffle, in slices of bounded size.
+Training fits on a sample of labelled documents bounded by ``sample`` (6000 by
+default) and ``sample_bytes`` (64 MB), the first by a hash of doc_id, never of
+the held-out fold; it runs on the driver and takes the same time for a corpus of
+any size.  Scoring is one pass over all texts without a shuffle; short texts go
+through together, a long one in slices of its chunks, whose maxima, minima and
+sums are folded, so memory does not depend on its length.
 
 Defined results: null and empty texts are scored like each other, from no byte
 at all; a null doc_id counts as the empty string for the fold; without any
 training row, or with one class only, the score is the share of label 1 (0.5
-without rows); labels that repeat or contradict count once each; an empty
-table gives an empty result; other columns are passed through or ignored.
+without rows); labels that repeat or contradict count once each; a labelled
+doc_id with several texts trains with the one of the smallest hash; an empty
+table gives an empty result; other columns are ignored or, by ``keep_good``,
+passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_batches, table, texts
+from .common import in_batches, shielded, table, texts
 
 SAMPLE, FILTERS, EMBED, STRIDE, CHUNK, HIDDEN = 6000, 32, 8, 4, 128, 16
 EPOCHS, BATCH, RATE, DECAY, THRESHOLD = 8, 32, 0.004, 1e-3, 0.3
-SLICE = 1 << 20
+SLICE, SAMPLE_BYTES = 1 << 20, 64 << 20
 
 
 def held_out() -> F.Column:
@@ -67,23 +71,64 @@ class Network:
         keep[np.cumsum(rows) - 1] = False
         return codes, np.flatnonzero(keep), chunks, np.cumsum(pieces) - pieces, np.minimum(1.0, windows / CHUNK).astype(np.float32)
 
+    def convolved(self, codes: np.ndarray, first: np.ndarray, chunks: np.ndarray):
+        """Embedded rows, filters over the windows, and each chunk's maxima."""
+        e = self.p["embed"][codes].reshape(len(codes), -1)
+        conv = (e @ self.p["near"])[first] + (e @ self.p["far"])[first + 1]
+        return e, conv, np.maximum.reduceat(conv, chunks)
+
+    def combined(self, x: np.ndarray):
+        """Probabilities of documents by their pooled filters, and the hidden layer."""
+        a = np.maximum(x @ self.p["w1"] + self.p["b1"], 0)
+        z = np.clip((a @ self.p["w2"] + self.p["b2"]).astype(np.float64), -30, 30)
+        return 1 / (1 + np.exp(-z)), a
+
     def forward(self, raw: list[bytes]):
-        p = self.p
         codes, first, chunks, docs, size = self.layout(raw)
-        e = p["embed"][codes].reshape(len(codes), -1)
-        conv = (e @ p["near"])[first] + (e @ p["far"])[first + 1]
-        top = np.maximum.reduceat(conv, chunks)
-        h = np.maximum(top + p["shift"], 0)
+        e, conv, top = self.convolved(codes, first, chunks)
+        h = np.maximum(top + self.p["shift"], 0)
         n = np.diff(np.append(docs, len(chunks)))
-        x = np.concatenate((np.maximum.reduceat(h, docs), np.minimum.reduceat(h, docs), np.add.reduceat(h, docs) / n[:, None], size[:, None]), axis=1).astype(p["w1"].dtype)
-        a = np.maximum(x @ p["w1"] + p["b1"], 0)
-        z = np.clip((a @ p["w2"] + p["b2"]).astype(np.float64), -30, 30)
-        return 1 / (1 + np.exp(-z)), (codes, first, chunks, docs, e, conv, top, h, n, x, a)
-
-    def score(self, raw: list[bytes]) -> np.ndarray:
+        x = np.concatenate((np.maximum.reduceat(h, docs), np.minimum.reduceat(h, docs), np.add.reduceat(h, docs) / n[:, None], size[:, None]), axis=1).astype(self.p["w1"].dtype)
+        out, a = self.combined(x)
+        return out, (codes, first, chunks, docs, e, conv, top, h, n, x, a)
+
+    def score_long(self, text: bytes, slice_bytes: int = SLICE) -> float:
+        """``forward`` of one text, a slice of its chunks at a time."""
+        rows = max(2, -(-len(text) // STRIDE))
+        pieces = max(1, (rows - 1) // CHUNK)
+        starts = np.append(np.arange(pieces) * (rows - 1) // pieces, rows - 1)
+        most, least, total = np.zeros(FILTERS), np.full(FILTERS, np.inf), np.zeros(FILTERS)
+        step = max(1, slice_bytes // (STRIDE * CHUNK))
+        for k in range(0, pieces, step):
+            own = starts[k : k + step + 1]
+            n = int(own[-1] - own[0])  # windows; they reach into one row more
+            codes = np.frombuffer(text[STRIDE * own[0] : STRIDE * (own[-1] + 1)].ljust(STRIDE * (n + 1), b"\0"), np.uint8).reshape(-1, STRIDE)
+            h = np.maximum(self.convolved(codes, np.arange(n), own[:-1] - own[0])[2] + self.p["shift"], 0)
+            most, least, total = np.maximum(most, h.max(axis=0)), np.minimum(least, h.min(axis=0)), total + h.sum(axis=0, dtype=np.float64)
+        x = np.concatenate((most, least, total / pieces, [min(1.0, (rows - 1) / CHUNK)])).astype(self.p["w1"].dtype)
+        return float(self.combined(x[None])[0][0])
+
+    def score(self, raw: list[bytes], slice_bytes: int = SLICE) -> np.ndarray:
+        """Probabilities of any texts, in bounded memory."""
         if self.prior is not None:
             return np.full(len(raw), self.prior)
-        return self.forward(raw)[0] if raw else np.empty(0)
+        out, part, held = np.empty(len(raw)), [], 0
+
+        def flush():
+            if part:
+                out[part] = self.forward([raw[i] for i in part])[0]
+
+        for k, x in enumerate(raw):
+            if len(x) >= slice_bytes:
+                out[k] = self.score_long(x, slice_bytes)
+                continue
+            part.append(k)
+            held += len(x)
+            if held >= slice_bytes:
+                flush()
+                part, held = [], 0
+        flush()
+        return out
 
     def gradients(self, raw: list[bytes], label: np.ndarray) -> dict[str, np.ndarray]:
         p, g = self.p, {}
@@ -110,10 +155,12 @@ class Network:
         d, row = dh[chunk, f], first[at]
         g["embed"] = np.zeros_like(p["embed"])
         for name, r in (("near", row), ("far", row + 1)):
-            g[name] = np.zeros_like(p[name].T)
-            np.add.at(g[name], f, d[:, None] * e[r])
-            g[name] = g[name].T
-            np.add.at(g["embed"], codes[r].ravel(), (d[:, None] * p[name].T[f]).reshape(-1, EMBED))
+            g[name] = np.empty_like(p[name])
+            for slot in range(STRIDE):  # by byte and filter first: both gradients are products with these sums
+                by = np.bincount(codes[r, slot].astype(np.int64) * FILTERS + f, d, 256 * FILTERS).reshape(256, FILTERS).astype(p[name].dtype)
+                own = slice(slot * EMBED, (slot + 1) * EMBED)
+                g[name][own] = p["embed"].T @ by
+                g["embed"] += by @ p[name][own].T
         return g
 
     def fit(self, raw: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> Network:
@@ -137,32 +184,35 @@ class Network:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fits on at most ``sample`` labelled documents outside the held-out fold."""
-    chosen = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()  # a join of at most ``sample`` ids
-    rows.sort(key=lambda r: (r.doc_id, r.text or "", r.label))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Fits on at most ``sample`` labelled documents outside the held-out fold, of at most ``sample_bytes`` together."""
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    chosen = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label")).distinct().orderBy(*order).limit(sample)
+    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    both = text.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    one = both.groupBy("doc_id", "label").agg(F.min_by(F.octet_length("text"), F.xxhash64("text")).alias("bytes"), F.min(F.xxhash64("text")).alias("h"))
+    upto, wanted = 0, []
+    for r in one.orderBy(*order).collect():  # at most ``sample`` rows of four numbers
+        upto += r.bytes
+        if upto <= sample_bytes:
+            wanted.append(tuple(r))
+    wanted = docs.sparkSession.createDataFrame(wanted, one.schema).drop("bytes")
+    rows = text.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"]).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.label))
     label = np.array([r.label for r in rows], np.float64)
     if len(set(label)) < 2:
         return Network(prior=float(label.mean()) if len(label) else 0.5)
-    return Network().fit([(r.text or "").encode() for r in rows], label)
+    return Network().fit([r.text.encode() for r in rows], label)
 
 
 def with_scores(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` and a column __score."""
+    """``docs``, which has no column of that name yet, and a column __score."""
     sent, names = docs.sparkSession.sparkContext.broadcast(network), docs.columns
 
     def run(batches):
         for batch in batches:
-            raw, out, part, held = texts(batch.column(names.index("text"))), [], [], 0
-            for x in raw:
-                part.append(x or b"")
-                held += len(part[-1])
-                if held >= SLICE:
-                    out.append(sent.value.score(part))
-                    part, held = [], 0
-            out.append(sent.value.score(part))
-            yield batch.append_column("__score", pa.array(np.concatenate(out)))
+            raw = [x or b"" for x in texts(batch.column(names.index("text")))]
+            yield batch.append_column("__score", pa.array(sent.value.score(raw)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return in_batches(docs, run, f"{fields}, __score double")
@@ -176,7 +226,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
-    return with_scores(docs, train(docs, labels, sample)).filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    network = train(docs, labels, sample)
+    return shielded(docs, lambda d: with_scores(d, network).filter(F.col("__score") >= THRESHOLD))
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

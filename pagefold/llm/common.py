@@ -212,6 +212,12 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(docs: DataFrame, work, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``work(docs)`` in ``docs``' own columns; while it runs, all but ``keep`` have names that clash with nothing."""
+    inner = docs.toDF(*(c if c in keep else f"c{k}" for k, c in enumerate(docs.columns)))
+    return work(inner).select(*inner.columns).toDF(*docs.columns)
+
+
 def buckets_for(n_docs: int) -> int:
     """Hash buckets, a power of two: about a million keys each for documents of ordinary length."""
     n = 16

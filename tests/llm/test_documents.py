@@ -414,6 +414,53 @@ def test_classifier_edges(spark):
     assert classifier.keep_good(docs, one).columns == docs.columns
 
 
+def test_classifier_keeps_columns_of_its_own_names(spark):
+    one = spark.createDataFrame([(3, 1), (6, 1)], "doc_id long, quality int")
+    assert seen(classifier.keep_good(frame(spark), one), *frame(spark).columns) == seen(frame(spark), *frame(spark).columns)
+
+
+def test_classifier_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"{'x' if k % 2 else 'y'} " * 50) for k in range(60)] + [(7, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    seen_by = []
+
+    class Spy(classifier.Network):
+        def fit(self, raw, label):
+            seen_by.append((len(raw), sum(map(len, raw))))
+            return self
+
+    old, classifier.Network = classifier.Network, Spy
+    try:
+        classifier.train(docs, labels, 20)
+        classifier.train(docs, labels, 20, 1000)
+    finally:
+        classifier.Network = old
+    assert seen_by[0][0] == 20 and 8 <= seen_by[1][0] <= 11 and seen_by[1][1] <= 1000
+
+
+def test_classifier_against_plain_loops():
+    """The network of every awkward text, one window at a time; and long texts in slices."""
+    n = classifier.Network(seed=2)
+    p = {k: v.astype(np.float64) for k, v in n.p.items()}
+    n.p = p
+    raw = [(r[1] or "").encode() for r in rows()]
+
+    def brute(x):
+        cells = [x[k : k + 4].ljust(4, b"\0") for k in range(0, len(x), 4)]
+        cells += [b"\0" * 4] * (2 - len(cells))
+        windows = [np.concatenate([p["embed"][b] for b in u]) @ p["near"] + np.concatenate([p["embed"][b] for b in v]) @ p["far"] for u, v in zip(cells, cells[1:])]
+        pieces = max(1, len(windows) // classifier.CHUNK)
+        edges = [k * len(windows) // pieces for k in range(pieces + 1)]
+        h = [np.maximum(np.max(windows[a:b], axis=0) + p["shift"], 0) for a, b in zip(edges, edges[1:])]
+        x = np.concatenate((np.max(h, axis=0), np.min(h, axis=0), np.mean(h, axis=0), [min(1.0, len(windows) / classifier.CHUNK)]))
+        return 1 / (1 + math.exp(-float(np.maximum(x @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"][0])))
+
+    want = [brute(x) for x in raw]
+    for size in (1 << 20, 700):
+        assert n.score(raw, size) == pytest.approx(want, abs=1e-6)
+    assert [n.score_long(x, 600) for x in raw] == pytest.approx(want, abs=1e-6)
+
+
 def test_classifier_gradients():
     n = classifier.Network(seed=1)
     for k in n.p:
