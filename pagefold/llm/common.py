@@ -1,12 +1,18 @@
 """Shared parts of the training-data operators.
 
 ``blocks`` gives every document a block key; blocks are disjoint, ascending
-ranges of ``doc_id`` of about equal numbers of documents.  ``exchange`` is the one distributed pattern the corpus
-wide operators use: every block sends packed arrays of 64-bit keys to hash
-buckets, the buckets aggregate them over the whole corpus and answer each
-block in the order asked, and the block finishes its own documents.  A key
-that a third of the rows share is sent once per block, never once per row, so
-no bucket can grow hot.
+ranges of ``doc_id`` of about equal numbers of bytes, ``hash_blocks`` the same
+without an order.  One distributed pattern serves the corpus-wide operators:
+every block sends packed arrays of 64-bit keys to hash buckets (``ask``), the
+buckets aggregate them over the whole corpus and answer each block in the order
+asked (``answer``), and the block finishes its own documents (``finish``).  A
+key that a third of the rows share is sent once per block, never once per row,
+so no bucket can grow hot.
+
+Blocks and buckets grow with the corpus up to bounds that a worker's memory
+sets, so up to ``MOST_PARTS`` of each the messages stay as many, whatever the
+size, and only get longer; beyond that their number grows with its square, which
+still leaves about a hundred keys in a message at a TB of text.
 """
 
 from __future__ import annotations
@@ -20,7 +26,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BLOCK_DOCS, RANGES, BATCH_ROWS = 500, 20_000, 1000
+RANGES, BATCH_ROWS, MOST_PARTS = 20_000, 1000, 2048
+#: Bytes of a block and keys of a bucket: least and most.
+BLOCK_BYTES, BUCKET_KEYS = (1 << 20, 32 << 20), (1 << 20, 1 << 22)
+#: What a row weighs besides its text, and bits of a block key that tell parts of one doc_id apart.
+ROW_BYTES, SUB = 64, 20
 U64 = np.uint64
 
 #: Bytes that are not part of a word for the two word rules (see ``words`` and ``plain_words``).
@@ -218,55 +228,83 @@ def shielded(docs: DataFrame, work, keep: tuple[str, ...] = ("doc_id", "text"))
     return work(inner).select(*inner.columns).toDF(*docs.columns)
 
 
-def buckets_for(n_docs: int) -> int:
-    """Hash buckets, a power of two: about a million keys each for documents of ordinary length."""
+def _between(total: int, bounds: tuple[int, int]) -> int:
+    return min(max(total // MOST_PARTS, bounds[0]), bounds[1])
+
+
+def buckets_for(keys: int) -> int:
+    """Hash buckets, a power of two, for so many keys."""
     n = 16
-    while n * 2000 < n_docs:
+    while n * _between(keys, BUCKET_KEYS) < keys:
         n *= 2
     return n
 
 
-def blocks(docs: DataFrame, columns: list[str], per_block: int = BLOCK_DOCS, ranges: int = RANGES) -> tuple[DataFrame, int]:
-    """``docs`` with a key ``__g``, and the number of documents that have a ``doc_id``.
+def _weight() -> F.Column:
+    return F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + ROW_BYTES
+
+
+def hash_blocks(docs: DataFrame, bounds: tuple[int, int] = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """``docs`` with a block key ``__g`` by the hash of doc_id and text, and the bytes of all rows."""
+    total = docs.agg(F.coalesce(F.sum(_weight()), F.lit(0))).first()[0]
+    n = max(1, -(-total // _between(total, bounds)))
+    return docs.withColumn("__g", F.expr(f"pmod(xxhash64(doc_id, text), {n})")), total
+
+
+def blocks(docs: DataFrame, columns: list[str], size: int | None = None, ranges: int = RANGES) -> tuple[DataFrame, int]:
+    """``docs`` with a key ``__g``, and the bytes of all rows that have a ``doc_id``.
 
-    Keys ascend with ``doc_id``.  Sampled quantiles of ``doc_id`` bound the blocks, so that they hold
-    about ``per_block`` documents whatever the ids' distribution; beyond ``ranges`` blocks each range
-    between quantiles is divided evenly, by its own smallest and largest id.  Only these bounds, at most
-    ``ranges``, come to the driver.  Rows with one ``doc_id`` share a block; a null one gets a null key.
+    ``__g >> SUB`` ascends with ``doc_id``.  Sampled quantiles of ``doc_id`` make fine ranges, whose bytes
+    are then counted; neighbours are joined to blocks of about ``size`` bytes, and a range of more is
+    divided: evenly by id, or by a hash of the text where it is one doc_id, whose parts then share one
+    place in the order.  Only the ranges, at most about twice ``ranges``, come to the driver.  A null
+    doc_id gets a null key.
     """
-    ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = ids.count()
-    wanted = -(-n // per_block)
-    parts = min(wanted, ranges)
-    cuts = np.unique(np.array(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], np.int64))
-
-    def place(low=None, width=None, first=None):
-        @F.pandas_udf("long")
-        def block(x: pd.Series) -> pd.Series:
-            v = x.to_numpy(np.int64)
-            r = np.searchsorted(cuts, v, side="right")
-            return pd.Series(r if low is None else first[r] + (v - low[r]) // width[r])
-
-        return block
-
-    at = place()
-    if wanted > parts:
-        of = ids.withColumn("r", at("doc_id")).groupBy("r").agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).collect()
-        low, width, pieces = np.zeros(len(cuts) + 1, np.int64), np.ones(len(cuts) + 1, np.int64), np.ones(len(cuts) + 1, np.int64)
-        for r, count, least, most in of:
-            low[r], pieces[r] = least, -(-count // per_block)
-            width[r] = (most - least) // pieces[r] + 1
-        at = place(low, width, np.cumsum(pieces) - pieces)
-    key = F.when(F.col("doc_id").isNotNull(), at(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
-    return docs.select(*columns, key.alias("__g")), n
+    ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _weight().alias("w"))
+    total = ids.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    size = size or _between(total, BLOCK_BYTES)
+    parts = min(4 * -(-total // size), ranges)
+    found = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if total > size else []
+    cuts, times = np.unique(np.array(found, np.int64), return_counts=True)
+    cuts = np.unique(np.concatenate((cuts, cuts[times > 1] + 1)))  # an id that fills several ranges is one by itself
+
+    @F.pandas_udf("long")
+    def nth(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(np.int64), side="right"))
+
+    n = len(cuts) + 1
+    base, low, width, subs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 1 << 62, np.int64), np.ones(n, np.int64)
+    if n > 1:
+        block, held = 0, 0
+        for r, weight, least, most in sorted(ids.groupBy(nth("doc_id")).agg(F.sum("w"), F.min("doc_id"), F.max("doc_id")).collect()):
+            if held and held + weight > size:
+                block, held = block + 1, 0
+            base[r], low[r], held = block, least, held + weight
+            pieces = min(-(-weight // size), 1 << SUB)
+            if pieces > 1:
+                if least == most:
+                    subs[r] = pieces
+                    block, held = block + 1, 0
+                else:
+                    width[r] = max(1, -(-(most - least + 1) // pieces))
+                    block, held = block + int((most - least) // width[r]) + 1, 0
+
+    @F.pandas_udf("long")
+    def place(x: pd.Series, h: pd.Series) -> pd.Series:
+        v = x.to_numpy(np.int64)
+        r = np.searchsorted(cuts, v, side="right")
+        order = base[r] + (v - low[r]) // width[r]
+        return pd.Series(order << SUB | h.to_numpy(np.int64) % subs[r])
+
+    key = F.when(F.col("doc_id").isNotNull(), place(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")))
+    return docs.select(*columns, key.alias("__g")), total
 
 
 def split_buckets(u: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) for sorted keys; a bucket holds one range of the 64-bit space."""
-    shift = U64(64 - (n_buckets.bit_length() - 1))
-    edges = np.searchsorted(u, np.arange(1, n_buckets, dtype=U64) << shift)
-    at = [0, *edges.tolist(), len(u)]
-    return [(b, at[b], at[b + 1]) for b in range(n_buckets) if at[b] < at[b + 1]]
+    of = (u >> U64(64 - (n_buckets.bit_length() - 1))).astype(np.int64)
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    return list(zip(of[at].tolist(), at.tolist(), np.append(at[1:], len(u)).tolist()))
 
 
 ASK = "__b int, __g long, kind string, keys binary, extra binary"

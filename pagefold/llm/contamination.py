@@ -11,15 +11,18 @@ Words that no phrase uses cannot be inside an occurrence, so a shard keeps only
 runs of phrase words that are long enough to hold the shortest phrase.  This
 loses nothing and keeps the index small; documents are cut nowhere else.
 
-The phrases go to the tasks in parts of at most ``part_words`` words, so what
-is sent has a fixed bound; a larger benchmark takes several passes, whose spans
-are united per document.
+The phrases go to the tasks in parts of about ``part_words`` words, so what
+is sent has a fixed bound; a larger benchmark takes several passes.  All but the
+last write the spans of the documents they hit and nothing else; these are
+united with the last one's.
 
 Defined results: null or empty texts have no words, and no item; an item that
-is null or has no words has no window; repeated items with one item_id count
-once; rows that repeat a ``doc_id`` are judged one by one; an empty benchmark
-hits nothing; an empty table gives an empty result; other columns are passed
-through or ignored.
+is null or has no words has no window; the windows of an item without item_id
+hit words, but it is neither counted nor listed; repeated items with one item_id
+count once; rows that repeat a ``doc_id`` are judged one by one; an empty
+benchmark hits nothing; an empty table gives an empty result; other columns are
+ignored or, by ``drop_contaminated`` and ``cut_passages``, passed through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_batches, plain_words, settle, table, texts
+from .common import in_batches, plain_words, settle, shielded, table, texts
 
-WIDTH, PART_WORDS, SAMPLE, SHARD_WORDS = 13, 2_000_000, 8, 1 << 20
+WIDTH, PART_WORDS, SAMPLE, SHARD_WORDS = 13, 500_000, 8, 1 << 20
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -115,22 +118,25 @@ class Phrases:
 
     def __init__(self, items: list[tuple], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
+        self.names = sorted({str(i) for i, _ in items if i is not None})
+        number, rows, owners = {x: k for k, x in enumerate(self.names)}, [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
         for item_id, text in items:
-            ws = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in plain_words(text)]
-            for k in range(max(1, len(ws) - width + 1) if ws else 0):
-                found.setdefault(tuple(ws[k : k + width]), set()).add(item_id)
-        self.items = list(found.values())
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.matrix = np.zeros((len(found), width), np.int64)
-        for k, p in enumerate(found):
-            self.matrix[k, : len(p)] = p
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+            ws = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in plain_words(text)], np.int32)
+            if len(ws):
+                rows.append(np.lib.stride_tricks.sliding_window_view(np.pad(ws, (0, max(0, width - len(ws)))), width))
+                owners.append(np.full(len(rows[-1]), number[str(item_id)] if item_id is not None else -1))
+        matrix, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.matrix, self.lengths = matrix.astype(np.int64), (matrix > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(matrix) else 0
         self.top = len(self.vocabulary) + 2
-
-    def find(self, shard: list[list[bytes]]) -> tuple[dict[int, list], dict[int, set]]:
-        """document of the shard -> spans of words, and -> items; 1 separates the runs that are indexed."""
-        number, spans, items = self.vocabulary.get, {}, {}
+        # the items of each phrase, one after another
+        both = np.unique(np.stack((which.ravel(), np.concatenate(owners)), axis=1), axis=0)
+        both = both[both[:, 1] >= 0]
+        self.items, self.ends = both[:, 1], np.searchsorted(both[:, 0], np.arange(len(matrix) + 1))
+
+    def find(self, shard: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(document, from, to) of the shard's merged spans of words, and (document, item), both in order; 1 separates the runs that are indexed."""
+        number, spans, items = self.vocabulary.get, np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64)
         lengths = np.array([len(ws) for ws in shard], np.int64)
         t = np.fromiter((number(w, 0) for w in chain.from_iterable(shard)), np.int64, int(lengths.sum()))
         if not len(t) or not self.shortest:
@@ -162,9 +168,18 @@ class Phrases:
         rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(phrase))
         place = source[index.locate(rows)]
         doc = np.searchsorted(first, place, side="right") - 1
-        for d, p, a, k in zip(doc.tolist(), phrase.tolist(), (place - first[doc]).tolist(), self.lengths[phrase].tolist()):
-            spans.setdefault(d, []).append((a, a + k))
-            items.setdefault(d, set()).update(self.items[p])
+        pairs = np.unique(doc * len(n) + phrase)  # each phrase once a document, however often it occurs
+        d, p = np.divmod(pairs, len(n))
+        many = self.ends[p + 1] - self.ends[p]
+        at = np.repeat(self.ends[p] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        items = np.unique(np.stack((np.repeat(d, many), self.items[at]), axis=1), axis=0)
+        order = np.lexsort((place, doc))
+        start, end, doc = place[order], (place + self.lengths[phrase])[order], doc[order]
+        upto = np.maximum.accumulate(end)
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] > upto[:-1]) | (doc[1:] != doc[:-1])
+        last = np.append(np.flatnonzero(new)[1:], len(start)) - 1
+        spans = np.stack((doc[new], start[new] - first[doc[new]], upto[last] - first[doc[new]]), axis=1)
         return spans, items
 
 
@@ -179,20 +194,29 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-_SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_FOUND = "__spans array<struct<a:long,b:long>>, __items array<string>"
+
+
+def _typed(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """``docs`` with n_words, merged spans and items."""
+def _pass(docs: DataFrame, phrases: Phrases, hits_only: bool = False) -> DataFrame:
+    """``docs``, or those with a hit, with n_words, merged spans and items."""
     names = docs.columns
 
+    def lists(keys: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(keys, np.arange(n + 1)), pa.int32()), values)
+
     def flush(rows, shard):
         spans, items = phrases.find(shard)
-        cols = [pa.array([len(ws) for ws in shard], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in merge(spans.get(k, []))] for k in range(len(shard))], _SPAN), pa.array([sorted(map(str, items.get(k, ()))) for k in range(len(shard))], pa.list_(pa.string()))]
+        pair = pa.StructArray.from_arrays([pa.array(spans[:, 1], pa.int64()), pa.array(spans[:, 2], pa.int64())], ["a", "b"])
+        cols = [pa.array([len(ws) for ws in shard], pa.int64()), lists(spans[:, 0], len(shard), pair), lists(items[:, 0], len(shard), pa.array(phrases.names, pa.string()).take(pa.array(items[:, 1])))]
         done = pa.Table.from_batches(rows)
         for name, col in zip(("n_words", "spans", "items"), cols):
             done = done.append_column(f"__{name}", col)
+        if hits_only:
+            done = done.take(pa.array(np.unique(spans[:, 0]))).drop_columns(["text"])
         return done.combine_chunks().to_batches()
 
     def run(batches):
@@ -210,8 +234,7 @@ def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
         if rows:
             yield from flush(rows, shard)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return in_batches(docs, run, f"{fields}, __n_words long, __spans array<struct<a:long,b:long>>, __items array<string>")
+    return in_batches(docs, run, f"{_typed(docs.drop('text').schema if hits_only else docs.schema)}, __n_words long, {_FOUND}")
 
 
 def phrase_parts(benchmark: DataFrame, width: int, part_words: int):
@@ -229,23 +252,39 @@ def phrase_parts(benchmark: DataFrame, width: int, part_words: int):
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_words: int = PART_WORDS) -> DataFrame:
-    """``docs`` with __n_words, __spans (maximal hit spans of words) and __items (ids of items found)."""
-    parts = phrase_parts(benchmark, width, part_words)
-    found = _pass(docs, next(parts))
-    for phrases in parts:  # a further pass for each further part
-        found = settle(found.withColumnsRenamed({"__n_words": "__n", "__spans": "__s", "__items": "__i"}))
-        found = _pass(found, phrases)
-        both = F.array_sort(F.concat("__s", "__spans"))
-        found = found.withColumns({"__spans": _united(both), "__items": F.array_sort(F.array_union("__i", "__items"))}).drop("__n", "__s", "__i")
-    return found
+    """``docs`` with __n_words, __spans (maximal hit spans of words) and __items (ids of items found), names that ``docs`` does not have."""
+    key = [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64("text", "doc_id").alias("__k2")]  # rows with equal keys have equal hits
+    parts, earlier = phrase_parts(benchmark, width, part_words), []
+    phrases = next(parts)
+    for later in parts:
+        hits = _pass(docs.select(*key, F.col("text").cast("string").alias("text")), phrases, True)
+        earlier.append(settle(hits.dropDuplicates(["__k1", "__k2"])))
+        phrases = later
+    if not earlier:
+        return _pass(docs, phrases)
+    hits = earlier[0]
+    for more in earlier[1:]:
+        hits = hits.union(more)
+    hits = hits.groupBy("__k1", "__k2").agg(F.flatten(F.collect_list("__spans")).alias("__s"), F.flatten(F.collect_list("__items")).alias("__i"))  # one row a part
+    found = _pass(docs, phrases).select("*", *key).join(hits, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    return _united(found)
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """__s and __i of other parts merged into __spans and __items."""
+    names = [c for c in found.columns if c not in ("__s", "__i", "__spans", "__items")]
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
+    def run(batches):
+        for batch in batches:
+            spans, s, items, i = (batch.column(c).to_pylist() for c in ("__spans", "__s", "__items", "__i"))
+            for k in range(len(s)):
+                if s[k] is not None:
+                    spans[k] = [{"a": a, "b": b} for a, b in merge([(x["a"], x["b"]) for x in spans[k] + s[k]])]
+                    items[k] = sorted({*items[k], *i[k]})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], [*names, "__spans", "__items"])
 
-def _united(spans) -> F.Column:
-    """``merge`` as an expression, for sorted spans."""
-    end = lambda x: F.element_at(x, -1)
-    kind = "array<struct<a:bigint,b:bigint>>"
-    joined = lambda x, s: F.concat(F.slice(x, 1, F.size(x) - 1), F.array(F.struct(end(x)["a"].alias("a"), F.greatest(end(x)["b"], s["b"]).alias("b"))))
-    return F.aggregate(spans, F.array().cast(kind), lambda x, s: F.when((F.size(x) > 0) & (s["a"] <= F.try_element_at(x, F.lit(-1))["b"]), joined(x, s)).otherwise(F.concat(x, F.array(s))))
+    return in_batches(found, run, f"{_typed(found.select(*names).schema)}, {_FOUND}")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -256,7 +295,7 @@ def judged(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; the rest as they are."""
-    return judged(find_passages(docs, benchmark)).filter("NOT contaminated").select(*docs.columns)
+    return shielded(docs, lambda d: judged(find_passages(d, benchmark)).filter("NOT contaminated"))
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")  # as ``plain_words``
@@ -282,8 +321,7 @@ def cut_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def shorter(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
         return pd.Series([cut(*x) for x in zip(text, first, last)], dtype=object)
 
-    found = find_passages(docs, benchmark)
-    return found.withColumn("text", shorter(F.col("text").cast("string"), F.col("__spans")["a"], F.col("__spans")["b"])).select(*docs.columns)
+    return shielded(docs, lambda d: find_passages(d, benchmark).withColumn("text", shorter(F.col("text").cast("string"), F.col("__spans")["a"], F.col("__spans")["b"])))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -312,7 +350,7 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS i FROM hit) GROUP BY doc_id
 ), ids AS (
-  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+  SELECT doc_id, count(i) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated

@@ -103,6 +103,7 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         self.sequences = [number(text) for _, text in templates]
         self.phrases = [(number(text), label) for text, label in phrases.items()]
+        self.least = min([long, *(len(p) for p, _ in self.phrases)])  # no shorter run of known words can hold anything
         self.automaton = a = SuffixAutomaton()
         for k, s in enumerate([*self.sequences, *(p for p, _ in self.phrases)]):
             a.add(s, k)
@@ -199,7 +200,7 @@ class Scanner:
         edges = np.flatnonzero(np.diff(known, prepend=False, append=False))
         base, matches = [], []
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if b - a > 1:
+            if b - a >= self.least:
                 x, y = self.stream(t[a:b].tolist())
                 base += [(a + s, self.phrases[k][1]) for s, k in x]
                 matches += [(a + i, a + j, s) for i, j, s in y]

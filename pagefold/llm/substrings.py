@@ -12,7 +12,8 @@ bucket one entry for each block.  Two unequal windows take part in a clash
 with a chance of about 2^-60 a pair.
 
 Defined results: a null, empty or short text has no window and loses nothing;
-rows that repeat a ``doc_id`` are not earlier than each other; a row without
+rows that repeat a ``doc_id`` are not earlier than each other, in whatever
+blocks they are; a row without
 ``doc_id`` is kept whole and is no source of repeats; an empty table gives an
 empty result; other columns are passed through or ignored, whatever their
 names.
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import answer, ask, blocks, buckets_for, finish, hashed, in_batches, planes, split_buckets, table, texts, unplanes, windows, words
+from .common import SUB, answer, ask, blocks, buckets_for, finish, hashed, in_batches, planes, shielded, split_buckets, table, texts, unplanes, windows, words
 
 WIDTH = 50
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -92,7 +93,7 @@ def without(text: bytes, mask: np.ndarray) -> bytes:
 def _bits(bucket: int, rows: list[dict]) -> list[tuple]:
     keys = [unplanes(r["keys"]) for r in rows]
     u = np.concatenate(keys)
-    g = np.repeat(np.array([r["__g"] for r in rows], np.int64), [len(k) for k in keys])
+    g = np.repeat(np.array([r["__g"] >> SUB for r in rows], np.int64), [len(k) for k in keys])
     order = np.lexsort((g, u))
     su, sg = u[order], g[order]
     first = np.ones(len(u), bool)
@@ -108,8 +109,8 @@ def _bits(bucket: int, rows: list[dict]) -> list[tuple]:
 
 def _repeats(docs: DataFrame, columns: list[str], width: int, work, schema: str) -> DataFrame:
     """``work(table, windows, {row: mask})`` for each block of the documents that have a doc_id."""
-    blocked, n = blocks(docs.filter("doc_id IS NOT NULL"), columns)
-    n_buckets = buckets_for(n)
+    blocked, total = blocks(docs.filter("doc_id IS NOT NULL"), columns)
+    n_buckets = buckets_for(total // 6)
 
     def emit(g, part):
         u = Windows(part, width).u
@@ -135,7 +136,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         at = part.schema.get_field_index("text")
         return part.set_column(at, part.schema.field(at), pa.array(raw, part.schema.field(at).type)).drop_columns(["__g"])
 
-    return _repeats(docs, docs.columns, width, work, docs.schema).unionByName(docs.filter("doc_id IS NULL"))
+    return shielded(docs, lambda d: _repeats(d, d.columns, width, work, d.schema).unionByName(d.filter("doc_id IS NULL")))
 
 
 def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -78,20 +78,57 @@ def test_substrings(spark):
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
-def test_blocks_hold_about_as_many_documents_each(spark):
-    from pagefold.llm.common import blocks
+def test_blocks_hold_about_as_many_bytes_each(spark):
+    from pagefold.llm import common
 
     ids = [*range(0, 900, 3), 1 << 61, -(1 << 61), *range(10**12, 10**12 + 200), None]
-    df = spark.createDataFrame([(x, "c") for x in ids], "doc_id long, text string")
+    docs = [(x, "c") for x in ids] + [(5, f"hot {k}") for k in range(300)] + [(700 + k, "long " * 130) for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    weigh = lambda r: len(r.text) + common.ROW_BYTES
     for ranges in (1000, 8):
-        got, n = blocks(df, ["doc_id"], 10, ranges)
+        got, total = common.blocks(df, ["doc_id", "text"], 650, ranges)
         rows_ = got.collect()
-        assert n == len(ids) - 1 and all((r.doc_id is None) == (r["__g"] is None) for r in rows_)
-        known = sorted((r.doc_id, r["__g"]) for r in rows_ if r.doc_id is not None)
+        assert total == sum(weigh(r) for r in rows_ if r.doc_id is not None) and all((r.doc_id is None) == (r["__g"] is None) for r in rows_)
+        known = sorted((r.doc_id, r["__g"] >> common.SUB) for r in rows_ if r.doc_id is not None)
         assert [g for _, g in known] == sorted(g for _, g in known)
-        sizes = Counter(g for _, g in known).values()
-        assert max(sizes) <= (25 if ranges == 1000 else 100) and len(sizes) > 20
-    assert blocks(empty(spark), ["doc_id"])[0].count() == 0
+        sizes = Counter()
+        for r in rows_:
+            if r.doc_id is not None:
+                sizes[r["__g"]] += weigh(r)
+        assert max(sizes.values()) <= (3000 if ranges == 1000 else 10_000) and len(sizes) > 60
+        if ranges == 1000:
+            assert len({r["__g"] for r in rows_ if r.doc_id == 5}) > 10  # a hot doc_id is no one block
+    assert common.blocks(empty(spark), ["doc_id"])[0].count() == 0
+    got, total = common.hash_blocks(df, (650, 650))
+    sizes = Counter()
+    for r in got.collect():
+        sizes[r["__g"]] += weigh(r)
+    assert sum(sizes.values()) == total and max(sizes.values()) < 3000
+
+
+def test_messages_grow_with_the_corpus_only():
+    """Blocks times buckets: messages stay long."""
+    from pagefold.llm import common
+
+    def messages(total):
+        return -(-total // common._between(total, common.BLOCK_BYTES)) * common.buckets_for(total // 6)
+
+    for gb, keys in ((0.1, 250), (1, 250), (10, 250), (100, 250), (1000, 80)):
+        assert gb * 1e9 / 6 / messages(int(gb * 1e9)) >= keys, gb
+    for total in (10**10, 10**13):
+        assert common._between(total, common.BLOCK_BYTES) <= 32 << 20
+
+
+def test_substrings_of_a_hot_doc_id_and_clashing_names(spark, monkeypatch):
+    """A doc_id of many texts is dealt over blocks, which are not earlier than each other."""
+    from pagefold.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_BYTES", (2000, 2000))
+    shared = prose(41, 60)
+    docs = [(9, f"{shared} {prose(100 + k, 20)}", k) for k in range(30)] + [(20, f"{prose(42, 10)} {shared}", 99), (3, prose(43, 80), 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __g long")
+    got = {(r.doc_id, r["__g"]): r.text for r in substrings.dedup_substrings(df).collect()}
+    assert got == {(d, g): t if d != 20 else prose(42, 10) for d, t, g in docs}
 
 
 def test_rolling_hash_tells_windows_apart():
@@ -268,6 +305,20 @@ def test_decontamination(spark, part):
     assert none.filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("part", [2_000_000, 10])
+def test_decontamination_edges(spark, part):
+    """An item without item_id, one phrase in every document, and columns named like the operator's own."""
+    item, other = prose(51, 20), prose(52, 14)
+    docs = [(k, f"{prose(200 + k, 5)} {item}", "a", k, 0) for k in range(5)] + [(9, f"{other} {prose(53, 400)}", "b", 1, 1), (9, None, "c", 2, 2), (9, f"{other} {item}", "d", 3, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __spans string, __items long, n_hit long")
+    bench = spark.createDataFrame([("q2", item), ("q1", item), (None, other)], "item_id string, text string").coalesce(1)
+    got = contamination.find_passages(df.select("doc_id", "text"), bench, part_words=part).collect()
+    assert sorted((r.doc_id, len(r["__spans"]), ",".join(r["__items"])) for r in got) == sorted([(k, 1, "q1,q2") for k in range(5)] + [(9, 1, ""), (9, 0, ""), (9, 1, "q1,q2")])
+    kept = contamination.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted((d for d in docs if d[4] in (1, 2)), key=repr)
+    assert {r["n_hit"]: r.text for r in contamination.cut_passages(df, bench).collect()}[1] == " " + prose(53, 400)
+
+
 def test_fm_index():
     r = np.random.default_rng(2)
     t = r.integers(1, 4, 300)
