@@ -12,17 +12,21 @@ the root, which is the base model.
 
 All training documents are counted.  The tree is a table and never in one
 place: blocks of documents ask hash buckets (see ``common``) three times.  First
-for the contexts that occur often enough, by 40 bits of their hashes, which may
-let some rarer ones through; then those contexts' exact counts by class of next
-token go to the buckets, which make the table of candidates; last, each block
-sends its distinct words, (context, token) pairs and candidate contexts, and
-gets the corpus's counts and the totals of those retained in the same order.  A
-word or pair that every document has is sent once a block.
+for the words' counts and for the contexts of one and two words that occur often
+enough, by 40 bits of their hashes, which may let some rarer ones through; a
+longer context can be frequent only if all its pairs of words are.  Then those
+contexts' exact counts by class of next token go to the buckets, which make the
+table of candidates, one row a context, and the divergence of each from its
+suffix is one join of that table with itself.  Last, each block sends its distinct
+words, (context, token) pairs and candidate contexts, and gets the corpus's
+counts and the totals of those retained in the same order.  A word or pair that
+every document has is sent once a block.
 
 Defined results: a null text is empty: only its end is scored; a null doc_id
 counts as the empty string for the split; repeated rows are scored alike and
-counted each; an empty table gives an empty result, one without training rows
-uniform predictions; other columns are ignored.
+counted each (rows equal in doc_id and text share a block); an empty table gives
+an empty result, one without training rows uniform predictions; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +39,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASK, REPLY, U64, answer, ask, ask_rows, blocks, buckets_for, finish, hashed, in_batches, mix, planes, reply_rows, settle, split_buckets, table, texts, unplanes
+from .common import ASK, REPLY, U64, answer, ask, ask_rows, buckets_for, finish, hash_blocks, hashed, mix, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
 
 LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
-BLOCK = 1000
+#: Bytes of a block, least and most: a block takes about thirty times as much memory.
+BLOCK_BYTES = (3 << 20, 8 << 20)
 _ODD, _CONTEXT, _SHORT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES), U64(24)
 
 
@@ -73,44 +78,11 @@ class Tokens:
         return out
 
 
-def _unique(keys: np.ndarray, *more: np.ndarray) -> tuple:
-    """(distinct keys, how often, ...); further arrays depend on the key."""
-    if not more:
-        u, n = np.unique(keys, return_counts=True)
-        return u, n.astype(np.int64)
-    u, first, n = np.unique(keys, return_index=True, return_counts=True)
-    return u, n.astype(np.int64), *(x[first] for x in more)
-
-
 def _summed(parts: list[tuple]) -> tuple:
-    """(key, count, ...) arrays with equal keys added up."""
-    keys, counts, *more = (np.concatenate(x) for x in zip(*parts))
-    u, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return u, np.bincount(inverse, counts, len(u)).astype(np.int64), *(x[first] for x in more)
-
-
-def _counted(train: DataFrame, keys_of, names: list[str]) -> DataFrame:
-    """Sums over all training texts of what ``keys_of`` gives: (key, count, ...) arrays for some texts."""
-
-    def batches_of(parts):
-        cols = [x.view(np.int64) for x in _summed(parts)]
-        for at in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in cols], names)
-
-    def run(batches):
-        parts = []
-        for batch in batches:
-            raw = texts(batch.column(0))
-            for at in range(0, len(raw), BLOCK):
-                parts.append(keys_of(Tokens(raw[at : at + BLOCK])))
-                if sum(len(p[0]) for p in parts) > 4_000_000:
-                    yield from batches_of(parts)
-                    parts = []
-        if parts:
-            yield from batches_of(parts)
-
-    rows = in_batches(train.select(F.col("text").cast("string")), run, ", ".join(f"{n} long" for n in names))
-    return rows.groupBy(names[0]).agg(F.sum("n").alias("n"), *(F.max(x).alias(x) for x in names[2:]))
+    """(key, count) arrays with equal keys added up."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    u, inverse = np.unique(keys, return_inverse=True)
+    return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
 
 
 class Tree:
@@ -144,20 +116,22 @@ class Blocks:
         if not 0 < least < 256:
             raise ValueError("least is from 1 to 255")
         self.spark, self.least, self.depth = docs.sparkSession, least, depth
-        blocked, n = blocks(docs, docs.columns, BLOCK)
-        self.blocked = blocked.withColumn("__g", F.coalesce("__g", F.expr("-1 - pmod(xxhash64(text), 1024)")))  # rows without doc_id are spread
-        self.buckets = buckets_for(depth * n)
+        self.blocked, total = hash_blocks(docs, BLOCK_BYTES)
+        self.buckets = buckets_for(total // 2)  # two or three keys a word of six bytes
         self.often = self._often()
 
     def _often(self) -> DataFrame:
-        """Replies with a bit for each context of a block, by the leading bits of its hash."""
+        """Replies with a bit for each context of a block of one or two words, by the leading bits of its hash; and the words' statistics."""
         depth, least, n_buckets = self.depth, self.least, self.buckets
 
         def emit(g, part):
             t, _, u, inverse = _contexts(part, depth)
-            c = np.bincount(inverse[np.tile(_learnt(t, part), depth)], minlength=len(u))
+            learnt = _learnt(t, part)
+            c = np.bincount(inverse[np.tile(learnt, min(2, depth))], minlength=len(u))
             c = np.minimum(c, least).astype(np.uint8)  # sums reach ``least`` as those of the full counts do
-            return [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
+            out = [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
+            w, n = np.unique(t.token[learnt], return_counts=True)
+            return out + [(b, g, "word", planes(w[i:j]), packed(n[i:j])) for b, i, j in split_buckets(w, n_buckets)]
 
         def counts(r):
             m = len(r["keys"]) // 5
@@ -165,60 +139,119 @@ class Blocks:
             c[c == 0] = np.frombuffer(r["extra"], np.uint8, offset=-(-m // 8))
             return c
 
-        def resolve(bucket, rows):
-            keys = [unplanes(r["keys"] + bytes(len(r["keys"]) // 5 * 3)) for r in rows]
-            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([counts(r) for r in rows]), len(u)) >= least
-            ends = np.cumsum([len(k) for k in keys])
-            return [(r["__g"], bucket, "often", np.packbits(c[inverse[e - len(k) : e]]).tobytes()) for r, k, e in zip(rows, keys, ends)]
+        def resolve(bucket, asked):
+            out = []
+            if rows := [r for r in asked if r["kind"] == "often"]:
+                keys = [unplanes(r["keys"] + bytes(len(r["keys"]) // 5 * 3)) for r in rows]
+                u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                c = np.bincount(inverse, np.concatenate([counts(r) for r in rows]), len(u)) >= least
+                ends = np.cumsum([len(k) for k in keys])
+                out = [(r["__g"], bucket, "often", np.packbits(c[inverse[e - len(k) : e]]).tobytes()) for r, k, e in zip(rows, keys, ends)]
+            if rows := [r for r in asked if r["kind"] == "word"]:
+                w, n = _summed([(k := unplanes(r["keys"]), unpacked(r["extra"], len(k))) for r in rows])
+                sums = np.bincount((w & ~_CONTEXT).astype(np.int64), n, CLASSES).astype(np.int64)
+                out.append((None, bucket, "word", np.append(sums, len(w)).tobytes()))
+            return out
 
         return settle(answer(ask(self.blocked, emit), resolve))
 
+    def words(self) -> tuple[np.ndarray, int]:
+        """Training tokens by class, and distinct ones."""
+
+        def run(batches):
+            total = np.zeros(CLASSES + 1, np.int64)
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    total += np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 1)), pa.array(total)], ["k", "n"])
+
+        rows = self.often.filter("kind = 'word'").select("reply").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+        total = np.zeros(CLASSES + 1, np.int64)
+        for r in rows:
+            total[r.k] = r.n
+        return total[:-1], int(total[-1])
+
     def candidates(self) -> DataFrame:
-        """(context, class, n, total, s): counts by class of next token of all contexts that occur ``least`` times; s is the suffix."""
+        """(context, s, total, classes, counts): each context that occurs ``least`` times, with its suffix and its counts by class of next token."""
         depth, least, n_buckets = self.depth, self.least, self.buckets
         _free(self.spark)
 
         def work(part, by):
             t, ids, hits = _found(part, by, depth, n_buckets)
-            hits = [hit & _learnt(t, part) for hit in hits]
-            group = t.token & ~_CONTEXT
-            u, c = _unique(np.concatenate([(x | group)[hit] for x, hit in zip(ids, hits)]))
-            v, first = np.unique(np.concatenate([x[hit] for x, hit in zip(ids[1:], hits[1:])]), return_index=True) if depth > 1 else (np.empty(0, U64), None)
-            s = np.concatenate([x[hit] for x, hit in zip(ids, hits[1:])])[first] if depth > 1 else v
-            out = [(b, 0, "class", planes(u[i:j]), c[i:j].astype(np.uint32).tobytes()) for b, i, j in split_buckets(u, n_buckets)]
-            return ask_rows(out + [(b, 0, "suffix", planes(v[i:j]), s[i:j].tobytes()) for b, i, j in split_buckets(v, n_buckets)])
+            learnt, group, out = _learnt(t, part), t.token & ~_CONTEXT, []
+            hits = [hit & learnt for hit in hits]
+            u, c = np.unique((ids[0] | group)[hits[0]], return_counts=True)
+            out += [(b, 0, "one", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
+            for x, s, hit in zip(ids[1:], ids, hits[1:]):
+                u, first, c = np.unique((x | group)[hit], return_index=True, return_counts=True)
+                above = s[hit][first]
+                own = np.ones(len(u), bool)  # the first class of each context: it brings the suffix along
+                own[1:] = (u[1:] ^ u[:-1]) & _CONTEXT != 0
+                out += [(b, 0, "more", planes(u[i:j]), above[i:j][own[i:j]].tobytes() + packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
+            return ask_rows(out)
 
         def run(key, part):
-            rows = part.to_pylist()
-            each = lambda kind, dtype: [(unplanes(r["keys"]), np.frombuffer(r["extra"], dtype)) for r in rows if r["kind"] == kind]
-            u, n = _summed(each("class", np.uint32))
+            parts, above = [], []
+            for r in part.to_pylist():
+                u = unplanes(r["keys"])
+                n = 0
+                if r["kind"] == "more":
+                    v = np.unique(u & _CONTEXT)
+                    n = len(v)
+                    above.append((v, np.frombuffer(r["extra"], U64, n)))
+                parts.append((u, unpacked(r["extra"][8 * n :], len(u))))
+            u, n = _summed(parts)
             contexts, inverse = np.unique(u & _CONTEXT, return_inverse=True)
             total = np.bincount(inverse, n, len(contexts)).astype(np.int64)
             s = np.zeros(len(contexts), U64)
-            if above := each("suffix", U64):
-                v, first = np.unique(np.concatenate([x for x, _ in above]), return_index=True)
-                s[np.searchsorted(contexts, v)] = np.concatenate([x for _, x in above])[first]
-            keep = total[inverse] >= least
-            cols = (contexts[inverse].view(np.int64), (u & ~_CONTEXT).view(np.int64), n, total[inverse], s[inverse].view(np.int64))
-            return pa.table([pa.array(x[keep]) for x in cols], names=["context", "class", "n", "total", "s"])
-
-        return settle(finish(self.blocked, self.often, work, ASK).groupBy("__b").applyInArrow(run, "context long, class long, n long, total long, s long"))
+            for v, x in above:
+                s[np.searchsorted(contexts, v)] = x
+            often = total >= least
+            keep = often[inverse]
+            classes, n, sizes = (u & ~_CONTEXT).astype(np.uint8)[keep], n[keep], np.bincount(inverse, minlength=len(contexts))[often]
+            ends = np.cumsum(sizes)
+            bounds = list(zip((ends - sizes).tolist(), ends.tolist()))
+            cols = [contexts[often].view(np.int64), s[often].view(np.int64), total[often], pa.array([classes[i:j].tobytes() for i, j in bounds], pa.binary()), pa.array([packed(n[i:j]) for i, j in bounds], pa.binary())]
+            return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["context", "s", "total", "classes", "counts"])
+
+        return settle(finish(self.blocked, self.often.filter("kind = 'often'"), work, ASK).groupBy("__b").applyInArrow(run, "context long, s long, total long, classes binary, counts binary"))
 
     def grow(self, share: float = 0.0, gain: float = GAIN) -> Tree:
-        words = settle(_counted(self.blocked.filter("NOT held_out"), lambda t: _unique(t.token), ["w", "n"]))
-        tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        root = words.groupBy(F.expr(f"w & {CLASSES - 1}L").alias("class")).agg(F.sum("n").alias("sn")).select(F.lit(0).cast("long").alias("s"), "class", "sn", F.lit(tokens).cast("long").alias("st"))
-        pairs = self.candidates().filter(F.col("total") >= share * tokens)
-        upper = pairs.select(F.col("context").alias("s"), "class", F.col("n").alias("sn"), F.col("total").alias("st"))
-        known = pairs.join(root.union(upper), ["s", "class"])
-        surely = known.groupBy("context", "total", "s").agg(F.sum(F.expr("n * ln((n / total) / (sn / st))")).alias("d")).filter(F.col("d") - (CLASSES - 1) / 2 >= gain)
-        level = surely.select("context", "total", "s")
-        kept, links = level, pairs.select("context", "total", "s").distinct()
-        for _ in range(self.depth - 1):
-            level = links.join(level.filter("s <> 0").select(F.col("s").alias("context")).distinct(), "context")
+        root, distinct = self.words()
+        tokens = int(root.sum())
+        known = self.candidates().filter(F.col("total") >= share * tokens)
+        upper = known.select(F.col("context").alias("s"), F.col("classes").alias("classes2"), F.col("counts").alias("counts2"))
+        deep = known.filter("s <> 0").join(upper, "s").select("context", "s", "total", "classes", "counts", "classes2", "counts2")
+        nothing = F.lit(None).cast("binary")
+        both = known.filter("s = 0").select("context", "s", "total", "classes", "counts", nothing.alias("classes2"), nothing.alias("counts2")).union(deep)
+
+        def run(batches):
+            def table(classes, counts):
+                out = np.zeros((len(classes), CLASSES))
+                for k, (x, n) in enumerate(zip(classes, counts)):
+                    if x is None:
+                        out[k] = root
+                    else:
+                        out[k, np.frombuffer(x, np.uint8)] = unpacked(n, len(x))
+                return out
+
+            for batch in batches:
+                own, above = (table(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()) for k in (3, 5))
+                d = divergence(own, above)
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(d - (CLASSES - 1) / 2 >= gain)) for x in batch.columns[:3]], ["context", "s", "total"])
+
+        level = kept = settle(both.mapInArrow(run, "context long, s long, total long"))
+        for _ in range(self.depth - 1):  # suffixes of what is kept
+            level = known.select("context", "s", "total").join(level.filter("s <> 0").select(F.col("s").alias("context")).distinct(), "context", "left_semi")
             kept = kept.union(level)
-        return Tree(settle(kept.select("context", "total").distinct()), int(tokens), int(distinct), self.least, self.depth)
+        return Tree(settle(kept.select("context", "total").distinct()), tokens, distinct, self.least, self.depth)
+
+
+def divergence(own: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """n times the Kullback-Leibler divergence of each row of counts from the row of its suffix, in nats."""
+    p, q = own / own.sum(axis=1, keepdims=True), above / above.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(own > 0, own * np.log(p / q), 0.0).sum(axis=1)
 
 
 def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
@@ -226,19 +259,24 @@ def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
 
 
 def _contexts(part: pa.Table, depth: int) -> tuple:
-    """Tokens; the ids of their contexts by length; the distinct leading bits of all ids; where each id's stand among them."""
+    """Tokens; the ids of their contexts by length; the distinct leading bits of those of one and two words; where each one's stand among them."""
     t = Tokens(texts(part.column("text")), depth)
     ids = t.contexts()
-    return t, ids, *np.unique(np.concatenate(ids) >> _SHORT << _SHORT, return_inverse=True)
+    return t, ids, *np.unique(np.concatenate(ids[:2]) >> _SHORT << _SHORT, return_inverse=True)
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length; masks of those that occur often, as do then their suffixes."""
+    """Tokens; the ids of their contexts by length; masks of those that may occur often, as do then their suffixes."""
     t, ids, u, inverse = _contexts(part, depth)
     often = np.zeros(len(u), bool)
     for b, i, j in split_buckets(u, n_buckets):
         often[i:j] = np.unpackbits(np.frombuffer(by["often", b], np.uint8), count=j - i)
-    return t, ids, list(np.logical_and.accumulate(often[inverse].reshape(depth, -1)))
+    hits = list(np.logical_and.accumulate(often[inverse].reshape(min(2, depth), -1)))
+    before = np.arange(len(t.token)) - 1  # a text's first token stands for the one before it
+    before[t.first] = t.first
+    for _ in range(2, depth):
+        hits.append(hits[1] & hits[-1][before])
+    return t, ids, hits
 
 
 def grow(train: DataFrame, share: float = 0.0, gain: float = GAIN, least: int = LEAST, depth: int = DEPTH) -> Tree:
@@ -266,9 +304,9 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     def emit(part, by):
         t, hits, u, inverse, v, _ = keys_of(part, by)
         learnt = _learnt(t, part)
-        c = np.bincount(inverse[np.concatenate([learnt, *(learnt[hit] for hit in hits)])], minlength=len(u)).astype(np.uint32)
+        c = np.bincount(inverse[np.concatenate([learnt, *(learnt[hit] for hit in hits)])], minlength=len(u))
         g = part.column("__g")[0].as_py()
-        out = [(b, g, "count", planes(u[i:j]), c[i:j].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
+        out = [(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
         return ask_rows(out + [(b, g, "total", planes(v[i:j]), b"") for b, i, j in split_buckets(v, n_buckets)])
 
     def resolve(key, asked, retained):
@@ -280,7 +318,7 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
             keys = [unplanes(r["keys"]) for r in rows]
             u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             if kind == "count":
-                c = np.bincount(inverse, np.concatenate([np.frombuffer(r["extra"], np.uint32) for r in rows]), len(u)).astype(np.int64)
+                c = np.bincount(inverse, np.concatenate([unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)]), len(u)).astype(np.int64)
             else:
                 c, contexts = np.zeros(len(u), np.int64), retained.column("context").to_numpy().view(U64)
                 at = np.searchsorted(u, contexts)
@@ -288,15 +326,14 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
                 c[at[here]] = retained.column("total").to_numpy()[here]
             at = 0
             for r, k in zip(rows, keys):
-                mine = c[inverse[at : at + len(k)]]
-                out.append((r["__g"], key[0].as_py(), kind, (mine.astype(np.uint32) if mine.max() < 1 << 32 else mine).tobytes()))
+                out.append((r["__g"], key[0].as_py(), kind, packed(c[inverse[at : at + len(k)]])))
                 at += len(k)
         return reply_rows(out)
 
     def read(by, kind, u):
         c = np.zeros(len(u))
         for b, i, j in split_buckets(u, n_buckets):
-            c[i:j] = np.frombuffer(by[kind, b], np.uint32 if len(by[kind, b]) == 4 * (j - i) else np.int64)
+            c[i:j] = unpacked(by[kind, b], j - i)
         return c
 
     def work(part, by):
@@ -316,8 +353,9 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
 
     bits = n_buckets.bit_length() - 1
     retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - bits).cast("int"))
-    replies = finish(dealt.blocked, dealt.often, emit, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(resolve, REPLY)
-    return finish(dealt.blocked, dealt.often.union(replies), work, COLUMNS)
+    often = dealt.often.filter("kind = 'often'")
+    replies = finish(dealt.blocked, often, emit, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(resolve, REPLY)
+    return finish(dealt.blocked, often.union(replies), work, COLUMNS)
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:

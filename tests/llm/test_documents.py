@@ -444,6 +444,42 @@ def test_language_model_grows(spark):
     assert one[1] and three[6]
 
 
+def test_language_model_retains_what_diverges(spark):
+    """The retained contexts of up to four words, from plain counts over word tuples."""
+    r = np.random.default_rng(5)
+    texts = []
+    for _ in range(150):
+        out = []
+        for _ in range(40):
+            out += {0: ["p", "m", "m", "y"], 1: ["q", "m", "m", "z"], 2: ["s", "n", "n", "n", "u"], 3: ["t", "n", "n", "n", "v"], 4: [f"w{r.integers(0, 40)}"]}[int(r.integers(0, 5))]
+        texts.append(" ".join(out))
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id long, text string")
+    depth, least, gain = 4, 8, 4.0
+    tree = language.grow(df, gain=gain, least=least, depth=depth)
+    counts, ids, tokens = {}, {}, 0
+    for text in [*texts, "", ""]:
+        t = language.Tokens([text.encode()], depth)
+        words = [None] * depth + text.split()
+        tokens += len(t.token)
+        for p, (x, *own) in enumerate(zip(t.token.tolist(), *t.contexts())):
+            for k in range(depth + 1):
+                key = tuple(words[depth + p - k : depth + p])
+                counts.setdefault(key, Counter())[x % 64] += 1
+                if k:
+                    ids[key] = int(own[k - 1])
+    kept = set()
+    for key, own in counts.items():
+        n, above = sum(own.values()), counts[key[1:]]
+        if key and n >= least:
+            d = sum(c * math.log(c / n / (above[x] / sum(above.values()))) for x, c in own.items())
+            if d - 63 / 2 >= gain:
+                kept |= {key[k:] for k in range(len(key))}
+    assert {len(k) for k in kept} == {1, 2, 3, 4}
+    assert sorted(tree.contexts.tolist()) == sorted(ids[k] for k in kept)
+    assert tree.tokens == tokens and tree.distinct == len({w for t in texts for w in t.split()}) + 1
+    assert {int(np.uint64(r.context & (2**64 - 1))): r.total for r in tree.kept.collect()} == {ids[k]: sum(counts[k].values()) for k in kept}
+
+
 def test_classifier(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     got = classifier.classify(docs, labels)
