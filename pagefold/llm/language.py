@@ -11,16 +11,20 @@ closed under suffixes.  Distributions are smoothed towards the suffix's, down to
 the root, which is the base model.
 
 All training documents are counted.  The tree is a table and never in one
-place: blocks of documents ask hash buckets (see ``common``) three times.  First
-for the words' counts and for the contexts of one and two words that occur often
-enough, by 40 bits of their hashes, which may let some rarer ones through; a
-longer context can be frequent only if all its pairs of words are.  Then those
-contexts' exact counts by class of next token go to the buckets, which make the
-table of candidates, one row a context, and the divergence of each from its
-suffix is one join of that table with itself.  Last, each block sends its distinct
-words, (context, token) pairs and candidate contexts, and gets the corpus's
-counts and the totals of those retained in the same order.  A word or pair that
-every document has is sent once a block.
+place: blocks of documents ask hash buckets (see ``common``) four times.
+
+1. For the words' counts, and for the contexts of one and two words that occur
+   often enough, by 40 bits of their hashes, which may let some rarer ones
+   through; a longer context can be frequent only if all its pairs of words are.
+2. Those contexts' exact counts by class of next token go to the buckets, which
+   make the table of candidates, one row a context; the divergence of each from
+   its suffix is one join of that table with itself.
+3. Which of its contexts are retained, again by 40 bits.
+4. The corpus's counts of (context, token) pairs of these, and the contexts'
+   totals, by whole hashes.
+
+Buckets answer in the order asked.  A word or pair that every document has is
+sent once a block.
 
 Defined results: a null text is empty: only its end is scored; a null doc_id
 counts as the empty string for the split; repeated rows are scored alike and
@@ -85,6 +89,28 @@ def _summed(parts: list[tuple]) -> tuple:
     return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
+    """The distinct keys of all, where each key stands among them, and their summed counts."""
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, inverse, np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)
+
+
+def _bits(by: dict, kind: str, u: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bits that buckets answered for sorted keys."""
+    out = np.zeros(len(u), bool)
+    for b, i, j in split_buckets(u, n_buckets):
+        out[i:j] = np.unpackbits(np.frombuffer(by[kind, b], np.uint8), count=j - i)
+    return out
+
+
+def _answered(by: dict, kind: str, u: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The counts that buckets answered for sorted keys."""
+    out = np.zeros(len(u))
+    for b, i, j in split_buckets(u, n_buckets):
+        out[i:j] = unpacked(by[kind, b], j - i)
+    return out
+
+
 class Tree:
     """The retained contexts, a table (context, total), and the totals of the root."""
 
@@ -130,7 +156,8 @@ class Blocks:
             c = np.bincount(inverse[np.tile(learnt, min(2, depth))], minlength=len(u))
             c = np.minimum(c, least).astype(np.uint8)  # sums reach ``least`` as those of the full counts do
             out = [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
-            w, n = np.unique(t.token[learnt], return_counts=True)
+            w, place = np.unique(t.token, return_inverse=True)
+            n = np.bincount(place[learnt], minlength=len(w))
             return out + [(b, g, "word", planes(w[i:j]), packed(n[i:j])) for b, i, j in split_buckets(w, n_buckets)]
 
         def counts(r):
@@ -148,9 +175,12 @@ class Blocks:
                 ends = np.cumsum([len(k) for k in keys])
                 out = [(r["__g"], bucket, "often", np.packbits(c[inverse[e - len(k) : e]]).tobytes()) for r, k, e in zip(rows, keys, ends)]
             if rows := [r for r in asked if r["kind"] == "word"]:
-                w, n = _summed([(k := unplanes(r["keys"]), unpacked(r["extra"], len(k))) for r in rows])
+                keys = [unplanes(r["keys"]) for r in rows]
+                w, inverse, n = _added(keys, [unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)])
+                ends = np.cumsum([len(k) for k in keys])
+                out += [(r["__g"], bucket, "word", packed(n[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
                 sums = np.bincount((w & ~_CONTEXT).astype(np.int64), n, CLASSES).astype(np.int64)
-                out.append((None, bucket, "word", np.append(sums, len(w)).tobytes()))
+                out.append((None, bucket, "sums", np.append(sums, (n > 0).sum()).tobytes()))
             return out
 
         return settle(answer(ask(self.blocked, emit), resolve))
@@ -165,7 +195,7 @@ class Blocks:
                     total += np.frombuffer(raw, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES + 1)), pa.array(total)], ["k", "n"])
 
-        rows = self.often.filter("kind = 'word'").select("reply").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+        rows = self.often.filter("kind = 'sums'").select("reply").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(CLASSES + 1, np.int64)
         for r in rows:
             total[r.k] = r.n
@@ -177,7 +207,7 @@ class Blocks:
         _free(self.spark)
 
         def work(part, by):
-            t, ids, hits = _found(part, by, depth, n_buckets)
+            t, ids, hits, *_ = _found(part, by, depth, n_buckets)
             learnt, group, out = _learnt(t, part), t.token & ~_CONTEXT, []
             hits = [hit & learnt for hit in hits]
             u, c = np.unique((ids[0] | group)[hits[0]], return_counts=True)
@@ -266,17 +296,38 @@ def _contexts(part: pa.Table, depth: int) -> tuple:
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length; masks of those that may occur often, as do then their suffixes."""
+    """Tokens; the ids of their contexts by length; masks of those that may occur often, as do then their suffixes; the keys of ``_contexts`` that do, and where each id's stand."""
     t, ids, u, inverse = _contexts(part, depth)
-    often = np.zeros(len(u), bool)
-    for b, i, j in split_buckets(u, n_buckets):
-        often[i:j] = np.unpackbits(np.frombuffer(by["often", b], np.uint8), count=j - i)
+    often = _bits(by, "often", u, n_buckets)
     hits = list(np.logical_and.accumulate(often[inverse].reshape(min(2, depth), -1)))
     before = np.arange(len(t.token)) - 1  # a text's first token stands for the one before it
     before[t.first] = t.first
     for _ in range(2, depth):
         hits.append(hits[1] & hits[-1][before])
-    return t, ids, hits
+    return t, ids, hits, u[often], (np.cumsum(often) - 1)[inverse].reshape(min(2, depth), -1)
+
+
+def _deep(ids: list[np.ndarray], hits: list[np.ndarray]) -> tuple:
+    """The distinct leading bits of contexts of three words and more, and where each one's stand among them."""
+    return np.unique(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]) >> _SHORT << _SHORT, return_inverse=True)
+
+
+def _retained(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
+    """Tokens; the ids of their contexts by length; masks of those that are retained, but for a clash of 40 bits."""
+    t, ids, hits, u, at = _found(part, by, depth, n_buckets)
+    kept = _bits(by, "kept", u, n_buckets)
+    masks = []
+    for hit, place in zip(hits[:2], at):
+        masks.append(hit.copy())
+        masks[-1][hit] = kept[place[hit]]
+    v, inverse = _deep(ids, hits)
+    kept, done = _bits(by, "deep", v, n_buckets)[inverse], 0
+    for hit in hits[2:]:
+        masks.append(hit.copy())
+        n = int(hit.sum())
+        masks[-1][hit] = kept[done : done + n]
+        done += n
+    return t, ids, list(np.logical_and.accumulate(masks))  # a retained context's suffixes are retained
 
 
 def grow(train: DataFrame, share: float = 0.0, gain: float = GAIN, least: int = LEAST, depth: int = DEPTH) -> Tree:
@@ -292,58 +343,72 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
     dealt = Blocks(docs, tree.least if tree else LEAST, tree.depth if tree else DEPTH)
     tree = tree or dealt.grow()
-    _free(docs.sparkSession)
     depth, n_buckets, tokens, distinct = dealt.depth, dealt.buckets, tree.tokens, tree.distinct
+    retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - (n_buckets.bit_length() - 1)).cast("int"))
+    retained = retained.groupBy("__b")
+
+    def wanted(part, by):
+        _, ids, hits, u, _ = _found(part, by, depth, n_buckets)
+        g, v = part.column("__g")[0].as_py(), _deep(ids, hits)[0]
+        return ask_rows([(b, g, kind, planes(x[i:j])[: 5 * (j - i)], None) for kind, x in (("kept", u), ("deep", v)) for b, i, j in split_buckets(x, n_buckets)])
+
+    def chosen(key, asked, tree_part):
+        contexts = np.unique(tree_part.column("context").to_numpy().view(U64) >> _SHORT << _SHORT)
+        out = []
+        for r in asked.to_pylist():
+            keys = unplanes(r["keys"] + bytes(len(r["keys"]) // 5 * 3))
+            at = np.searchsorted(contexts, keys)
+            here = (at < len(contexts)) & (np.append(contexts, U64(0))[at] == keys)
+            out.append((r["__g"], key[0].as_py(), r["kind"], np.packbits(here).tobytes()))
+        return reply_rows(out)
+
+    often = dealt.often.filter("kind = 'often'")
+    _free(docs.sparkSession)
+    kept = settle(finish(dealt.blocked, often, wanted, ASK).groupBy("__b").cogroup(retained).applyInArrow(chosen, REPLY))
+    _free(docs.sparkSession)
 
     def keys_of(part, by):
-        """Tokens; masks of contexts; distinct words and pairs, distinct contexts, and where each stands among them."""
-        t, ids, hits = _found(part, by, depth, n_buckets)
-        both = [t.token, *(mix(x[hit] + mix(t.token[hit])) for x, hit in zip(ids, hits))]
-        return t, hits, *np.unique(np.concatenate(both), return_inverse=True), *np.unique(np.concatenate([x[hit] for x, hit in zip(ids, hits)]), return_inverse=True)
+        """Tokens; masks of contexts; distinct pairs, distinct contexts, and where each stands among them."""
+        t, ids, hits = _retained(part, by, depth, n_buckets)
+        pairs = [mix(x[hit] + mix(t.token[hit])) for x, hit in zip(ids, hits)]
+        return t, hits, *np.unique(np.concatenate(pairs), return_inverse=True), *np.unique(np.concatenate([x[hit] for x, hit in zip(ids, hits)]), return_inverse=True)
 
     def emit(part, by):
         t, hits, u, inverse, v, _ = keys_of(part, by)
         learnt = _learnt(t, part)
-        c = np.bincount(inverse[np.concatenate([learnt, *(learnt[hit] for hit in hits)])], minlength=len(u))
+        c = np.bincount(inverse[np.concatenate([learnt[hit] for hit in hits])], minlength=len(u))
         g = part.column("__g")[0].as_py()
         out = [(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
         return ask_rows(out + [(b, g, "total", planes(v[i:j]), b"") for b, i, j in split_buckets(v, n_buckets)])
 
-    def resolve(key, asked, retained):
+    def resolve(key, asked, tree_part):
         out = []
         for kind in ("count", "total"):
             rows = [r for r in asked.to_pylist() if r["kind"] == kind]
             if not rows:
                 continue
             keys = [unplanes(r["keys"]) for r in rows]
-            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             if kind == "count":
-                c = np.bincount(inverse, np.concatenate([unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)]), len(u)).astype(np.int64)
+                _, inverse, c = _added(keys, [unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)])
             else:
-                c, contexts = np.zeros(len(u), np.int64), retained.column("context").to_numpy().view(U64)
+                u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                c, contexts = np.zeros(len(u), np.int64), tree_part.column("context").to_numpy().view(U64)
                 at = np.searchsorted(u, contexts)
                 here = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == contexts)
-                c[at[here]] = retained.column("total").to_numpy()[here]
-            at = 0
-            for r, k in zip(rows, keys):
-                out.append((r["__g"], key[0].as_py(), kind, packed(c[inverse[at : at + len(k)]])))
-                at += len(k)
+                c[at[here]] = tree_part.column("total").to_numpy()[here]
+            ends = np.cumsum([len(k) for k in keys])
+            out += [(r["__g"], key[0].as_py(), kind, packed(c[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
         return reply_rows(out)
 
-    def read(by, kind, u):
-        c = np.zeros(len(u))
-        for b, i, j in split_buckets(u, n_buckets):
-            c[i:j] = unpacked(by[kind, b], j - i)
-        return c
-
     def work(part, by):
         t, hits, u, inverse, v, place = keys_of(part, by)
-        c, totals, n = read(by, "count", u)[inverse], read(by, "total", v)[place], len(t.token)
-        known, at = c[:n] > 0, n
-        p = base = (c[:n] + 1) / (tokens + distinct + 1)
+        w, nth = np.unique(t.token, return_inverse=True)
+        n, c, totals, at = _answered(by, "word", w, n_buckets)[nth], _answered(by, "count", u, n_buckets)[inverse], _answered(by, "total", v, n_buckets)[place], 0
+        known = n > 0
+        p = base = (n + 1) / (tokens + distinct + 1)
         for hit in hits:
             hit = np.flatnonzero(hit)
-            count, total = c[at : at + len(hit)], totals[at - n : at - n + len(hit)]
+            count, total = c[at : at + len(hit)], totals[at : at + len(hit)]
             kept, at = total > 0, at + len(hit)
             p, hit = p.copy(), hit[kept]
             p[hit] = (count[kept] + prior * p[hit]) / (total[kept] + prior)
@@ -351,11 +416,8 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
         cols = [part.column("doc_id"), part.column("held_out"), t.lengths, add(known.astype(np.int64)), np.full(len(t.lengths), tokens), add(np.log10(base)), add(np.log10(p))]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in cols], names=[x.split()[0] for x in COLUMNS.split(", ")])
 
-    bits = n_buckets.bit_length() - 1
-    retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - bits).cast("int"))
-    often = dealt.often.filter("kind = 'often'")
-    replies = finish(dealt.blocked, often, emit, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(resolve, REPLY)
-    return finish(dealt.blocked, often.union(replies), work, COLUMNS)
+    replies = finish(dealt.blocked, often.union(kept), emit, ASK).groupBy("__b").cogroup(retained).applyInArrow(resolve, REPLY)
+    return finish(dealt.blocked, dealt.often.filter("kind <> 'sums'").union(kept).union(replies), work, COLUMNS)
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:
