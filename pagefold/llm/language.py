@@ -73,14 +73,22 @@ class Tokens:
         self.token = self._all[self._at]
         self.first = np.cumsum(self.lengths) - self.lengths
 
-    def contexts(self) -> list[np.ndarray]:
+    def contexts(self, upto: int | None = None) -> list[np.ndarray]:
         """Ids of the contexts of one word, two words and so on; the low bits are free for a class."""
-        out, h = [], np.zeros(len(self.token), U64)
-        for k in range(1, self._depth + 1):
-            h = mix(h * _ODD + self._all[self._at - k] + U64(k))
-            out.append(h & _CONTEXT)
+        out, self._h = [], np.zeros(len(self.token), U64)
+        for k in range(1, min(upto or self._depth, self._depth) + 1):
+            self._h = mix(self._h * _ODD + self._all[self._at - k] + U64(k))
+            out.append(self._h & _CONTEXT)
         return out
 
+    def deeper(self, k: int, hit: np.ndarray) -> np.ndarray:
+        """After ``contexts`` or ``deeper`` of k - 1: ids of the contexts of k words where ``hit`` is set, among those before."""
+        at = np.flatnonzero(hit)
+        h = np.zeros(len(self.token), U64)
+        h[at] = mix(self._h[at] * _ODD + self._all[self._at[at] - k] + U64(k))
+        self._h = h
+        return h & _CONTEXT
+
 
 def _summed(parts: list[tuple]) -> tuple:
     """(key, count) arrays with equal keys added up."""
@@ -289,21 +297,22 @@ def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
 
 
 def _contexts(part: pa.Table, depth: int) -> tuple:
-    """Tokens; the ids of their contexts by length; the distinct leading bits of those of one and two words; where each one's stand among them."""
+    """Tokens; the ids of their contexts of one and two words; the distinct leading bits of these; where each one's stand among them."""
     t = Tokens(texts(part.column("text")), depth)
-    ids = t.contexts()
-    return t, ids, *np.unique(np.concatenate(ids[:2]) >> _SHORT << _SHORT, return_inverse=True)
+    ids = t.contexts(2)
+    return t, ids, *np.unique(np.concatenate(ids) >> _SHORT << _SHORT, return_inverse=True)
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length; masks of those that may occur often, as do then their suffixes; the keys of ``_contexts`` that do, and where each id's stand."""
+    """Tokens; the ids of their contexts by length, where the masks are set; masks of those that may occur often, as do then their suffixes; the keys of ``_contexts`` that do, and where each id's stand."""
     t, ids, u, inverse = _contexts(part, depth)
     often = _bits(by, "often", u, n_buckets)
     hits = list(np.logical_and.accumulate(often[inverse].reshape(min(2, depth), -1)))
     before = np.arange(len(t.token)) - 1  # a text's first token stands for the one before it
     before[t.first] = t.first
-    for _ in range(2, depth):
+    for k in range(3, depth + 1):
         hits.append(hits[1] & hits[-1][before])
+        ids.append(t.deeper(k, hits[-1]))
     return t, ids, hits, u[often], (np.cumsum(often) - 1)[inverse].reshape(min(2, depth), -1)
 
 
