@@ -211,16 +211,24 @@ class Blocks:
 
     def candidates(self) -> DataFrame:
         """(context, s, total, classes, counts): each context that occurs ``least`` times, with its suffix and its counts by class of next token."""
-        depth, least, n_buckets = self.depth, self.least, self.buckets
+        found = self._candidates(1, 2)
+        for low, high in [(3, self.depth)] * (self.depth > 2):  # in two rounds, which halves what is shuffled at once
+            found = found.union(self._candidates(low, high))
+        return found
+
+    def _candidates(self, low: int, high: int) -> DataFrame:
+        """Those of ``low`` to ``high`` words."""
+        depth, least, n_buckets = min(self.depth, high), self.least, self.buckets
         _free(self.spark)
 
         def work(part, by):
             t, ids, hits, *_ = _found(part, by, depth, n_buckets)
             learnt, group, out = _learnt(t, part), t.token & ~_CONTEXT, []
             hits = [hit & learnt for hit in hits]
-            u, c = np.unique((ids[0] | group)[hits[0]], return_counts=True)
-            out += [(b, 0, "one", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
-            for x, s, hit in zip(ids[1:], ids, hits[1:]):
+            if low == 1:
+                u, c = np.unique((ids[0] | group)[hits[0]], return_counts=True)
+                out = [(b, 0, "one", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
+            for x, s, hit in list(zip(ids[1:], ids, hits[1:]))[max(0, low - 2) :]:
                 u, first, c = np.unique((x | group)[hit], return_index=True, return_counts=True)
                 above = s[hit][first]
                 own = np.ones(len(u), bool)  # the first class of each context: it brings the suffix along
