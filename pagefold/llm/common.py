@@ -9,10 +9,10 @@ asked (``answer``), and the block finishes its own documents (``finish``).  A
 key that a third of the rows share is sent once per block, never once per row,
 so no bucket can grow hot.
 
-Blocks and buckets grow with the corpus up to bounds that a worker's memory
-sets, so up to ``MOST_PARTS`` of each the messages stay as many, whatever the
-size, and only get longer; beyond that their number grows with its square, which
-still leaves about a hundred keys in a message at a TB of text.
+Blocks grow with the corpus up to a bound that a worker's memory sets, so up to
+``MOST_PARTS`` of them messages are as many as buckets times a constant; beyond
+that their number grows with the square of the corpus, which still leaves about
+a hundred keys in a message at a TB of text.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RANGES, BATCH_ROWS, MOST_PARTS = 20_000, 1000, 2048
-#: Bytes of a block and keys of a bucket: least and most.
-BLOCK_BYTES, BUCKET_KEYS = (1 << 20, 32 << 20), (1 << 20, 1 << 22)
+#: Bytes of a block, least and most, and keys of a bucket.
+BLOCK_BYTES, BUCKET_KEYS = (4 << 20, 32 << 20), 1 << 22
 #: What a row weighs besides its text, and bits of a block key that tell parts of one doc_id apart.
 ROW_BYTES, SUB = 64, 20
 U64 = np.uint64
@@ -246,7 +246,7 @@ def _between(total: int, bounds: tuple[int, int]) -> int:
 def buckets_for(keys: int) -> int:
     """Hash buckets, a power of two, for so many keys."""
     n = 16
-    while n * _between(keys, BUCKET_KEYS) < keys:
+    while n * BUCKET_KEYS < keys:
         n *= 2
     return n
 

@@ -19,9 +19,8 @@ place: blocks of documents ask hash buckets (see ``common``) four times.
 2. Those contexts' exact counts by class of next token go to the buckets, which
    make the table of candidates, one row a context; the divergence of each from
    its suffix is one join of that table with itself.
-3. Which of its contexts are retained, again by 40 bits.
-4. The corpus's counts of (context, token) pairs of these, and the contexts'
-   totals, by whole hashes.
+3. Which of its contexts are retained, and their totals.
+4. The corpus's counts of (context, token) pairs of these.
 
 Buckets answer in the order asked.  A word or pair that every document has is
 sent once a block.
@@ -49,8 +48,8 @@ LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 #: Bytes of a block, least and most: a block takes about thirty times as much memory.
-BLOCK_BYTES = (3 << 20, 8 << 20)
-_ODD, _CONTEXT, _SHORT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES), U64(24)
+BLOCK_BYTES = (8 << 20, 8 << 20)
+_ODD, _CONTEXT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES)
 
 
 def held_out(doc_id="doc_id") -> F.Column:
@@ -305,10 +304,10 @@ def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
 
 
 def _contexts(part: pa.Table, depth: int) -> tuple:
-    """Tokens; the ids of their contexts of one and two words; the distinct leading bits of these; where each one's stand among them."""
+    """Tokens; the ids of their contexts of one and two words; the distinct ones; where each stands among them."""
     t = Tokens(texts(part.column("text")), depth)
     ids = t.contexts(2)
-    return t, ids, *np.unique(np.concatenate(ids) >> _SHORT << _SHORT, return_inverse=True)
+    return t, ids, *np.unique(np.concatenate(ids), return_inverse=True)
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
@@ -325,26 +324,24 @@ def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
 
 
 def _deep(ids: list[np.ndarray], hits: list[np.ndarray]) -> tuple:
-    """The distinct leading bits of contexts of three words and more, and where each one's stand among them."""
-    return np.unique(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]) >> _SHORT << _SHORT, return_inverse=True)
+    """The distinct contexts of three words and more, and where each stands among them."""
+    return np.unique(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]), return_inverse=True)
 
 
 def _retained(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length; masks of those that are retained, but for a clash of 40 bits."""
+    """Tokens; the ids of their contexts by length; where each length has retained ones, and their totals."""
     t, ids, hits, u, at = _found(part, by, depth, n_buckets)
-    kept = _bits(by, "kept", u, n_buckets)
-    masks = []
-    for hit, place in zip(hits[:2], at):
-        masks.append(hit.copy())
-        masks[-1][hit] = kept[place[hit]]
+    kept = _answered(by, "kept", u, n_buckets)
     v, inverse = _deep(ids, hits)
-    kept, done = _bits(by, "deep", v, n_buckets)[inverse], 0
-    for hit in hits[2:]:
-        masks.append(hit.copy())
-        n = int(hit.sum())
-        masks[-1][hit] = kept[done : done + n]
-        done += n
-    return t, ids, list(np.logical_and.accumulate(masks))  # a retained context's suffixes are retained
+    deep, done, out = _answered(by, "deep", v, n_buckets)[inverse], 0, []
+    for k, hit in enumerate(hits):
+        place = np.flatnonzero(hit)
+        if k < 2:
+            total = kept[at[k][place]]
+        else:
+            total, done = deep[done : done + len(place)], done + len(place)
+        out.append((place[total > 0], total[total > 0]))
+    return t, ids, out
 
 
 def grow(train: DataFrame, share: float = 0.0, gain: float = GAIN, least: int = LEAST, depth: int = DEPTH) -> Tree:
@@ -362,78 +359,60 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     tree = tree or dealt.grow()
     depth, n_buckets, tokens, distinct = dealt.depth, dealt.buckets, tree.tokens, tree.distinct
     retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - (n_buckets.bit_length() - 1)).cast("int"))
-    retained = retained.groupBy("__b")
 
     def wanted(part, by):
         _, ids, hits, u, _ = _found(part, by, depth, n_buckets)
         g, v = part.column("__g")[0].as_py(), _deep(ids, hits)[0]
-        return ask_rows([(b, g, kind, planes(x[i:j])[: 5 * (j - i)], None) for kind, x in (("kept", u), ("deep", v)) for b, i, j in split_buckets(x, n_buckets)])
+        return ask_rows([(b, g, kind, planes(x[i:j]), None) for kind, x in (("kept", u), ("deep", v)) for b, i, j in split_buckets(x, n_buckets)])
 
     def chosen(key, asked, tree_part):
-        contexts = np.unique(tree_part.column("context").to_numpy().view(U64) >> _SHORT << _SHORT)
+        tree_part = tree_part.sort_by("context")  # as signed numbers: one bucket is on one side of zero
+        contexts, totals = tree_part.column("context").to_numpy().view(U64), np.append(tree_part.column("total").to_numpy(), 0)
         out = []
         for r in asked.to_pylist():
-            keys = unplanes(r["keys"] + bytes(len(r["keys"]) // 5 * 3))
+            keys = unplanes(r["keys"])
             at = np.searchsorted(contexts, keys)
-            here = (at < len(contexts)) & (np.append(contexts, U64(0))[at] == keys)
-            out.append((r["__g"], key[0].as_py(), r["kind"], np.packbits(here).tobytes()))
+            here = np.append(contexts, U64(0))[at] == keys
+            out.append((r["__g"], key[0].as_py(), r["kind"], packed(np.where(here, totals[at], 0))))
         return reply_rows(out)
 
     often = dealt.often.filter("kind = 'often'")
     _free(docs.sparkSession)
-    kept = settle(finish(dealt.blocked, often, wanted, ASK).groupBy("__b").cogroup(retained).applyInArrow(chosen, REPLY))
+    kept = settle(finish(dealt.blocked, often, wanted, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(chosen, REPLY))
     _free(docs.sparkSession)
 
     def keys_of(part, by):
-        """Tokens; masks of contexts; distinct pairs, distinct contexts, and where each stands among them."""
+        """Tokens; where retained contexts are, and their totals, by length; distinct pairs, and where each stands among them."""
         t, ids, hits = _retained(part, by, depth, n_buckets)
-        pairs = [mix(x[hit] + mix(t.token[hit])) for x, hit in zip(ids, hits)]
-        return t, hits, *np.unique(np.concatenate(pairs), return_inverse=True), *np.unique(np.concatenate([x[hit] for x, hit in zip(ids, hits)]), return_inverse=True)
+        return t, hits, *np.unique(np.concatenate([mix(x[at] + mix(t.token[at])) for x, (at, _) in zip(ids, hits)]), return_inverse=True)
 
     def emit(part, by):
-        t, hits, u, inverse, v, _ = keys_of(part, by)
+        t, hits, u, inverse = keys_of(part, by)
         learnt = _learnt(t, part)
-        c = np.bincount(inverse[np.concatenate([learnt[hit] for hit in hits])], minlength=len(u))
+        c = np.bincount(inverse[np.concatenate([learnt[at] for at, _ in hits])], minlength=len(u))
         g = part.column("__g")[0].as_py()
-        out = [(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
-        return ask_rows(out + [(b, g, "total", planes(v[i:j]), b"") for b, i, j in split_buckets(v, n_buckets)])
+        return ask_rows([(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)])
 
-    def resolve(key, asked, tree_part):
-        out = []
-        for kind in ("count", "total"):
-            rows = [r for r in asked.to_pylist() if r["kind"] == kind]
-            if not rows:
-                continue
-            keys = [unplanes(r["keys"]) for r in rows]
-            if kind == "count":
-                _, inverse, c = _added(keys, [unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)])
-            else:
-                u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-                c, contexts = np.zeros(len(u), np.int64), tree_part.column("context").to_numpy().view(U64)
-                at = np.searchsorted(u, contexts)
-                here = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == contexts)
-                c[at[here]] = tree_part.column("total").to_numpy()[here]
-            ends = np.cumsum([len(k) for k in keys])
-            out += [(r["__g"], key[0].as_py(), kind, packed(c[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
-        return reply_rows(out)
+    def resolve(bucket, rows):
+        keys = [unplanes(r["keys"]) for r in rows]
+        _, inverse, c = _added(keys, [unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)])
+        ends = np.cumsum([len(k) for k in keys])
+        return [(r["__g"], bucket, "count", packed(c[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
 
     def work(part, by):
-        t, hits, u, inverse, v, place = keys_of(part, by)
+        t, hits, u, inverse = keys_of(part, by)
         w, nth = np.unique(t.token, return_inverse=True)
-        n, c, totals, at = _answered(by, "word", w, n_buckets)[nth], _answered(by, "count", u, n_buckets)[inverse], _answered(by, "total", v, n_buckets)[place], 0
-        known = n > 0
-        p = base = (n + 1) / (tokens + distinct + 1)
-        for hit in hits:
-            hit = np.flatnonzero(hit)
-            count, total = c[at : at + len(hit)], totals[at : at + len(hit)]
-            kept, at = total > 0, at + len(hit)
-            p, hit = p.copy(), hit[kept]
-            p[hit] = (count[kept] + prior * p[hit]) / (total[kept] + prior)
+        n, counts, done = _answered(by, "word", w, n_buckets)[nth], _answered(by, "count", u, n_buckets)[inverse], 0
+        base = (n + 1) / (tokens + distinct + 1)
+        p = base.copy()
+        for at, total in hits:
+            p[at] = (counts[done : done + len(at)] + prior * p[at]) / (total + prior)
+            done += len(at)
         add = lambda x: np.add.reduceat(x, t.first)
-        cols = [part.column("doc_id"), part.column("held_out"), t.lengths, add(known.astype(np.int64)), np.full(len(t.lengths), tokens), add(np.log10(base)), add(np.log10(p))]
+        cols = [part.column("doc_id"), part.column("held_out"), t.lengths, add((n > 0).astype(np.int64)), np.full(len(t.lengths), tokens), add(np.log10(base)), add(np.log10(p))]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in cols], names=[x.split()[0] for x in COLUMNS.split(", ")])
 
-    replies = finish(dealt.blocked, often.union(kept), emit, ASK).groupBy("__b").cogroup(retained).applyInArrow(resolve, REPLY)
+    replies = answer(finish(dealt.blocked, often.union(kept), emit, ASK), resolve)
     return finish(dealt.blocked, dealt.often.filter("kind <> 'sums'").union(kept).union(replies), work, COLUMNS)
 
 
