@@ -163,6 +163,33 @@ def windows(values: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return rolling(values, width)[at] if len(at) else np.empty(0, U64), n
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, the sorted keys, and where each distinct one begins among them.
+
+    Keys are sorted by their leading bits with their place in the others, several times faster than
+    ``argsort``; should keys differ in their last bits only and come out of order, they are sorted in full.
+    """
+    bits = U64(max(1, len(keys) - 1).bit_length())
+    both = keys >> bits << bits | np.arange(len(keys), dtype=U64)
+    both.sort()
+    order = (both & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    s = keys[order]
+    if (s[1:] < s[:-1]).any():
+        order = np.argsort(keys)
+        s = keys[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return order, s, new
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and where each key stands among them."""
+    order, s, new = ordered(keys)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], inverse
+
+
 def planes(u: np.ndarray) -> bytes:
     """Sorted 64-bit keys as eight byte planes: the shared leading bytes then compress away."""
     return u.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()

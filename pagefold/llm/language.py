@@ -42,13 +42,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASK, REPLY, U64, answer, ask, ask_rows, buckets_for, finish, hash_blocks, hashed, mix, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
+from .common import ASK, REPLY, U64, answer, ask, ask_rows, buckets_for, distinct, finish, hash_blocks, hashed, mix, ordered, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
 
 LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 #: Bytes of a block, least and most: a block takes about thirty times as much memory.
-BLOCK_BYTES = (8 << 20, 8 << 20)
+BLOCK_BYTES = (3 << 20, 8 << 20)
 _ODD, _CONTEXT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES)
 
 
@@ -68,7 +68,9 @@ class Tokens:
         self._all[place] = words
         end = np.cumsum(counts + depth + 1) - 1
         self._all[end] = END
-        self._at = np.sort(np.concatenate((place, end)))
+        inside = np.ones(len(self._all), bool)
+        inside[(end - counts)[:, None] - np.arange(1, depth + 1)] = False
+        self._at = np.flatnonzero(inside)
         self.token = self._all[self._at]
         self.first = np.cumsum(self.lengths) - self.lengths
 
@@ -92,13 +94,13 @@ class Tokens:
 def _summed(parts: list[tuple]) -> tuple:
     """(key, count) arrays with equal keys added up."""
     keys, counts = (np.concatenate(x) for x in zip(*parts))
-    u, inverse = np.unique(keys, return_inverse=True)
+    u, inverse = distinct(keys)
     return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
     """The distinct keys of all, where each key stands among them, and their summed counts."""
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    u, inverse = distinct(np.concatenate(keys))
     return u, inverse, np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)
 
 
@@ -163,7 +165,7 @@ class Blocks:
             c = np.bincount(inverse[np.tile(learnt, min(2, depth))], minlength=len(u))
             c = np.minimum(c, least).astype(np.uint8)  # sums reach ``least`` as those of the full counts do
             out = [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
-            w, place = np.unique(t.token, return_inverse=True)
+            w, place = distinct(t.token)
             n = np.bincount(place[learnt], minlength=len(w))
             return out + [(b, g, "word", planes(w[i:j]), packed(n[i:j])) for b, i, j in split_buckets(w, n_buckets)]
 
@@ -177,7 +179,7 @@ class Blocks:
             out = []
             if rows := [r for r in asked if r["kind"] == "often"]:
                 keys = [unplanes(r["keys"] + bytes(len(r["keys"]) // 5 * 3)) for r in rows]
-                u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                u, inverse = distinct(np.concatenate(keys))
                 c = np.bincount(inverse, np.concatenate([counts(r) for r in rows]), len(u)) >= least
                 ends = np.cumsum([len(k) for k in keys])
                 out = [(r["__g"], bucket, "often", np.packbits(c[inverse[e - len(k) : e]]).tobytes()) for r, k, e in zip(rows, keys, ends)]
@@ -228,8 +230,9 @@ class Blocks:
                 u, c = np.unique((ids[0] | group)[hits[0]], return_counts=True)
                 out = [(b, 0, "one", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
             for x, s, hit in list(zip(ids[1:], ids, hits[1:]))[max(0, low - 2) :]:
-                u, first, c = np.unique((x | group)[hit], return_index=True, return_counts=True)
-                above = s[hit][first]
+                order, keys, new = ordered((x | group)[hit])
+                u, above = keys[new], s[hit][order[new]]
+                c = np.diff(np.append(np.flatnonzero(new), len(keys)))
                 own = np.ones(len(u), bool)  # the first class of each context: it brings the suffix along
                 own[1:] = (u[1:] ^ u[:-1]) & _CONTEXT != 0
                 out += [(b, 0, "more", planes(u[i:j]), above[i:j][own[i:j]].tobytes() + packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
@@ -246,7 +249,7 @@ class Blocks:
                     above.append((v, np.frombuffer(r["extra"], U64, n)))
                 parts.append((u, unpacked(r["extra"][8 * n :], len(u))))
             u, n = _summed(parts)
-            contexts, inverse = np.unique(u & _CONTEXT, return_inverse=True)
+            contexts, inverse = distinct(u & _CONTEXT)
             total = np.bincount(inverse, n, len(contexts)).astype(np.int64)
             s = np.zeros(len(contexts), U64)
             for v, x in above:
@@ -262,7 +265,7 @@ class Blocks:
         return settle(finish(self.blocked, self.often.filter("kind = 'often'"), work, ASK).groupBy("__b").applyInArrow(run, "context long, s long, total long, classes binary, counts binary"))
 
     def grow(self, share: float = 0.0, gain: float = GAIN) -> Tree:
-        root, distinct = self.words()
+        root, n_words = self.words()
         tokens = int(root.sum())
         known = self.candidates().filter(F.col("total") >= share * tokens)
         upper = known.select(F.col("context").alias("s"), F.col("classes").alias("classes2"), F.col("counts").alias("counts2"))
@@ -289,7 +292,7 @@ class Blocks:
         for _ in range(self.depth - 1):  # suffixes of what is kept
             level = known.select("context", "s", "total").join(level.filter("s <> 0").select(F.col("s").alias("context")).distinct(), "context", "left_semi")
             kept = kept.union(level)
-        return Tree(settle(kept.select("context", "total").distinct()), tokens, distinct, self.least, self.depth)
+        return Tree(settle(kept.select("context", "total").distinct()), tokens, n_words, self.least, self.depth)
 
 
 def divergence(own: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -307,7 +310,7 @@ def _contexts(part: pa.Table, depth: int) -> tuple:
     """Tokens; the ids of their contexts of one and two words; the distinct ones; where each stands among them."""
     t = Tokens(texts(part.column("text")), depth)
     ids = t.contexts(2)
-    return t, ids, *np.unique(np.concatenate(ids), return_inverse=True)
+    return t, ids, *distinct(np.concatenate(ids))
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
@@ -325,7 +328,7 @@ def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
 
 def _deep(ids: list[np.ndarray], hits: list[np.ndarray]) -> tuple:
     """The distinct contexts of three words and more, and where each stands among them."""
-    return np.unique(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]), return_inverse=True)
+    return distinct(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]))
 
 
 def _retained(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
@@ -357,7 +360,7 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out().alias("held_out"))
     dealt = Blocks(docs, tree.least if tree else LEAST, tree.depth if tree else DEPTH)
     tree = tree or dealt.grow()
-    depth, n_buckets, tokens, distinct = dealt.depth, dealt.buckets, tree.tokens, tree.distinct
+    depth, n_buckets, tokens, space = dealt.depth, dealt.buckets, tree.tokens, tree.tokens + tree.distinct + 1
     retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - (n_buckets.bit_length() - 1)).cast("int"))
 
     def wanted(part, by):
@@ -384,7 +387,7 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     def keys_of(part, by):
         """Tokens; where retained contexts are, and their totals, by length; distinct pairs, and where each stands among them."""
         t, ids, hits = _retained(part, by, depth, n_buckets)
-        return t, hits, *np.unique(np.concatenate([mix(x[at] + mix(t.token[at])) for x, (at, _) in zip(ids, hits)]), return_inverse=True)
+        return t, hits, *distinct(np.concatenate([mix(x[at] + mix(t.token[at])) for x, (at, _) in zip(ids, hits)]))
 
     def emit(part, by):
         t, hits, u, inverse = keys_of(part, by)
@@ -401,9 +404,9 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
 
     def work(part, by):
         t, hits, u, inverse = keys_of(part, by)
-        w, nth = np.unique(t.token, return_inverse=True)
+        w, nth = distinct(t.token)
         n, counts, done = _answered(by, "word", w, n_buckets)[nth], _answered(by, "count", u, n_buckets)[inverse], 0
-        base = (n + 1) / (tokens + distinct + 1)
+        base = (n + 1) / space
         p = base.copy()
         for at, total in hits:
             p[at] = (counts[done : done + len(at)] + prior * p[at]) / (total + prior)
