@@ -290,7 +290,7 @@ class Blocks:
 
         level = kept = settle(both.mapInArrow(run, "context long, s long, total long"))
         for _ in range(self.depth - 1):  # suffixes of what is kept
-            level = known.select("context", "s", "total").join(level.filter("s <> 0").select(F.col("s").alias("context")).distinct(), "context", "left_semi")
+            level = settle(known.select("context", "s", "total").join(level.filter("s <> 0").select(F.col("s").alias("context")).distinct(), "context", "left_semi"))
             kept = kept.union(level)
         return Tree(settle(kept.select("context", "total").distinct()), tokens, n_words, self.least, self.depth)
 

@@ -381,6 +381,56 @@ def test_decontamination_cuts_passages(spark):
     assert got == {1: f"{own} (?) {own}", 2: None, 3: own}
 
 
+def test_matching_statistics_against_all_substrings():
+    """Long matches, base places and best chains of random files, from plain comparisons of word lists."""
+    r = np.random.default_rng(6)
+    for trial in range(60):
+        words_ = "abcd"[: 2 + trial % 3]
+        draw = lambda n: [str(x) for x in r.choice(list(words_), n)]
+        templates = [(f"t{k}", " ".join(draw(r.integers(5, 14)))) for k in range(2)]
+        phrases = {" ".join(draw(2)): "p", words_[0]: "q"}
+        s = licenses.Scanner(templates, phrases, long=3, gap=2, share=0.5)
+        file = draw(30)
+        sources = [t.split() for _, t in templates] + [p.split() for p in phrases]
+        inside = lambda run: any(src[i : i + len(run)] == run for src in sources for i in range(len(src) - len(run) + 1))
+        longest = [max(n for n in range(i + 2) if inside(file[i + 1 - n : i + 1])) for i in range(len(file))]
+        want = [(i + 1 - n, i + 1) for i, n in enumerate(longest) if n >= 3 and (i + 1 == len(file) or longest[i + 1] <= n)]
+        codes = [s.vocabulary.get(w.encode(), 0) for w in file]
+        if 0 in codes:
+            continue
+        base, matches = s.stream(codes)
+        assert [m[:2] for m in matches] == want
+        assert sorted((i, phrases[k]) for i, k in ((i, " ".join(x)) for x in map(str.split, phrases) for i in range(len(file)) if file[i : i + len(x)] == x)) == sorted((i, s.phrases[k][1]) for i, k in base)
+        for k, (_, text) in enumerate(templates):
+            t = text.split()
+            found = [(a, b, i) for a, b in want for i in range(len(t)) if t[i : i + b - a] == file[a:b]]
+            if not found:
+                continue
+
+            def covers(at, done):
+                """The most words of a chain that goes on after match ``at``, of which ``done`` were counted before."""
+                a, b, i = found[at]
+                most = b - a - done
+                for j in range(at + 1, len(found)):
+                    a2, b2, i2 = found[j]
+                    over = max(0, b - a2, i + b - a - i2)
+                    if a < a2 and i < i2 and a2 - b <= 2 and i2 - (i + b - a) <= 2 and over < b2 - a2:
+                        most = max(most, b - a - done + covers(j, over))
+                return most
+
+            assert s._chain(k, found)[0] == max(covers(j, 0) for j in range(len(found)))
+
+
+def test_license_phrases_of_one_word_and_loaded_templates(spark, tmp_path):
+    s = licenses.Scanner([("x", "a b c d e f g h")], {"zzz": "z"})
+    assert s.scan([b"one", b"zzz", b"two"])["base"] == [(1, "z")]
+    (tmp_path / "Own.txt").write_text("all of these words make up a licence of our own")
+    templates = licenses.load_templates(spark, str(tmp_path))
+    assert [x for x, _ in templates] == ["own"]
+    df = spark.createDataFrame([(1, "/* All of these words make up a licence of our own. */")], "doc_id long, text string")
+    assert licenses.scan(df, licenses.Scanner(templates)).first().labels == "own"
+
+
 def test_licenses_copies():
     """Each copy of a licence text has its spans."""
     scanner = licenses.Scanner()
