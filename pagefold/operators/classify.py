@@ -25,10 +25,11 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 
 def same_offset(src: DataFrame, ref: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    """Positional join: the reference's page at the same place as ``ref_content`` (null beyond its end), and ``same``."""
+    """Positional join: ``same``, and where it is not, the reference's page at that place as ``ref_content`` (null beyond its end)."""
     other = ref.select(*on, "page_nr", F.col("content").alias("ref_content"))
     joined = src.join(other, [*on, "page_nr"], "left")
-    return joined.withColumn("same", F.coalesce(F.col("content") == F.col("ref_content"), F.lit(False)))
+    joined = joined.withColumn("same", F.coalesce(F.col("content") == F.col("ref_content"), F.lit(False)))
+    return joined.withColumn("ref_content", F.when(~F.col("same"), F.col("ref_content")))  # no equal page goes through a further shuffle
 
 
 def membership(src: DataFrame, ref: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
@@ -40,11 +41,18 @@ def membership(src: DataFrame, ref: DataFrame, on: tuple[str, ...] = ()) -> Data
 
 
 def in_reference(src: DataFrame, ref: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    return src.join(ref.select(*on, "content").distinct(), [*on, "content"], "left_semi")
+    return _against(src, ref, on, "left_semi")
 
 
 def not_in_reference(src: DataFrame, ref: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    return src.join(ref.select(*on, "content").distinct(), [*on, "content"], "left_anti")
+    return _against(src, ref, on, "left_anti")
+
+
+def _against(src: DataFrame, ref: DataFrame, on: tuple[str, ...], how: str) -> DataFrame:
+    """By the contents' hashes, and then in full."""
+    a, b = _hashed(src), _hashed(ref.select(*on, "content").distinct())
+    match = [a[c] == b[c] for c in (*on, "__h", "content")]
+    return a.join(b, match, how).drop("__h")
 
 
 def classify(src: DataFrame, ref: DataFrame, on: tuple[str, ...] = (), delta: int | None = None, short_off_limit: int = 256, arrow: bool = False) -> DataFrame:

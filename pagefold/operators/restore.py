@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from . import diff
-from .intervals import expand
+from .intervals import expand, running
 
 
 def apply_diffs(diffs: DataFrame, ref: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
@@ -31,9 +31,6 @@ def intra_reconstruct(places: DataFrame, fills: DataFrame, literals: DataFrame,
 
     Literals carry their rank ``k``, and free places are ranked the same way.
     """
-    from pyspark.sql import Window
-
     filled = expand(fills).select(*on, "page_nr", "content")
     free = places.join(filled.select(*on, "page_nr"), [*on, "page_nr"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*on).orderBy("page_nr"))
-    return filled.unionByName(free.withColumn("k", rank).join(literals.select(*on, "k", "content"), [*on, "k"]).select(*on, "page_nr", "content"))
+    return filled.unionByName(running(free, F.lit(1), "k", on).join(literals.select(*on, "k", "content"), [*on, "k"]).select(*on, "page_nr", "content"))

@@ -1,26 +1,28 @@
-"""Totals and distinct counts per class, in one pass."""
+"""Totals and distinct counts per class: contents are grouped once, with a count for each class, and then added up."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 
-def _both(name: str, where) -> list:
-    return [F.count(F.when(where, 1)).alias(f"{name}_total"), F.count_distinct(F.when(where, F.col("content"))).alias(f"{name}_distinct")]
+def _totals(classified: DataFrame, cases: dict) -> DataFrame:
+    groups = classified.groupBy("content").agg(*(F.count_if(where).alias(name) for name, where in cases.items()))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("long")
+    return groups.agg(*(x for name in cases for x in (total(name).alias(f"{name}_total"), F.count_if(F.col(name) > 0).alias(f"{name}_distinct"))))
 
 
 def inter_stats(classified: DataFrame) -> DataFrame:
     """One row: totals and distinct contents of the classes, of dedup as a whole, and of all pages."""
     c = F.col("cls")
     cases = {"same": c == "SAME", "moved": c == "DEDUP", "dedup": c.isin("SAME", "DEDUP"), "diff": c == "DIFF", "new": c == "NEW", "all": F.lit(True)}
-    return classified.agg(*(x for name, where in cases.items() for x in _both(name, where)))
+    return _totals(classified, cases)
 
 
 def decode_stats(classified: DataFrame) -> DataFrame:
     """As the decoder sees it: distinct contents are counted without diffed pages."""
     c = F.col("cls")
-    cases = {"filled": c == "DEDUP", "same": c == "SAME", "new": c == "NEW", "seen": c != "DIFF"}
-    return classified.agg(*(x for name, where in cases.items() for x in _both(name, where)), F.count(F.when(c == "DIFF", 1)).alias("diff_total"))
+    cases = {"filled": c == "DEDUP", "same": c == "SAME", "new": c == "NEW", "seen": c != "DIFF", "diff": c == "DIFF"}
+    return _totals(classified, cases).drop("diff_distinct")
 
 
 def intra_stats(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ p AS (
       WHEN l_linenumber <= 5 THEN l_returnflag || l_linestatus || '-' || lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 4, '0')
       ELSE l_returnflag || l_linestatus || '-' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(l_orderkey AS VARCHAR), 14, '0') END, 32, '.') AS content
   FROM lineitem
+), every AS (
+  SELECT nr AS page_nr, content FROM p
 ), ref AS (
   SELECT nr AS page_nr, content FROM p WHERE nr < n // 2
 ), src AS (
@@ -72,7 +74,7 @@ _PAIRS = """, pr AS (
 _MANY = (
     _PAIRS
     + """, s AS (
-  SELECT * FROM pages JOIN pr USING (dump_id)
+  SELECT * FROM pages LEFT JOIN pr USING (dump_id)
 ), dict AS (
   SELECT dump_id, content, min(page_nr) AS first_nr FROM pages GROUP BY dump_id, content
 ), many AS (
@@ -117,7 +119,7 @@ _BYTES = (
     + _TEXT
     + _PAIRS
     + """, h AS (
-  SELECT doc_id AS dump_id, hex(encode(text)) AS x FROM documents JOIN pr ON dump_id = doc_id
+  SELECT doc_id AS dump_id, hex(encode(text)) AS x FROM documents
 ), hp AS (
   SELECT dump_id, unnest(range(0, (length(x) - 1) // 128 + 1)) AS page_nr, x FROM h WHERE length(x) > 0
 )
@@ -136,10 +138,10 @@ ORACLES = {
     "page_scan_full": f"WITH {_TEXT} SELECT * FROM pages WHERE length(content) = 64",
     "dump_size": f"WITH {_TEXT} SELECT dump_id, CAST(sum(length(content)) AS BIGINT) AS size, count(*) AS pages FROM pages GROUP BY dump_id",
     "page_enumerate": f"WITH {_ITEMS} SELECT nr AS page_nr, content FROM p",
-    "distinct_pages": f"WITH {_ITEMS} SELECT DISTINCT content FROM src",
-    "content_index": f"WITH {_ITEMS} SELECT content, count(*) AS n, min(page_nr) AS first_nr, max(page_nr) AS last_nr FROM src GROUP BY content",
-    "first_occurrence": f"WITH {_BASE} SELECT * FROM dict",
-    "inverse_map": f"WITH {_ITEMS} SELECT page_nr, content FROM ref",
+    "distinct_pages": f"WITH {_ITEMS} SELECT DISTINCT content FROM every",
+    "content_index": f"WITH {_ITEMS} SELECT content, count(*) AS n, min(page_nr) AS first_nr, max(page_nr) AS last_nr FROM every GROUP BY content",
+    "first_occurrence": f"WITH {_ITEMS} SELECT content, min(page_nr) AS first_nr FROM every GROUP BY content",
+    "inverse_map": f"WITH {_ITEMS} SELECT page_nr, content FROM every",
     "same_offset": f"WITH {_BASE} SELECT page_nr, coalesce(content = rc, FALSE) AS same FROM base",
     "dedup_membership": f"WITH {_BASE} SELECT page_nr, coalesce(first_nr, -1) AS first_nr, first_nr IS NOT NULL AS in_ref FROM base",
     "pages_in_ref": f"WITH {_ITEMS} SELECT page_nr FROM src WHERE content IN (SELECT content FROM ref)",
@@ -152,18 +154,18 @@ ORACLES = {
     "diff_size": f"WITH {_DIFF} SELECT page_nr, size AS size_256, size_128 FROM sz",
     "diff_accept": f"WITH {_DIFF} SELECT page_nr FROM sz WHERE size < 32",
     "diff_list": f"WITH {_DIFF} SELECT page_nr, np AS n_patches, size FROM cls WHERE cls = 'DIFF'",
-    "intervalize": f"WITH {_ITEMS} {_runs('src', 'content')} SELECT * FROM iv",
+    "intervalize": f"WITH {_ITEMS} {_runs('every', 'content')} SELECT * FROM iv",
     "interval_expand": f"WITH {_BASE} SELECT first_nr, page_nr FROM base WHERE c0 = 'DEDUP'",
     "interval_total": f"WITH {_BASE} SELECT first_nr, count(*) AS total FROM base WHERE c0 = 'DEDUP' GROUP BY first_nr",
     "dedup_groups": f'WITH {_DIFF} {_DEDUP_D} SELECT first_nr, CAST(sum("right" - "left" + 1) AS BIGINT) AS n, count(*) AS n_intervals, min("left") AS first_place, max("right") AS last_place FROM iv GROUP BY first_nr',
     "new_groups": f"WITH {_DIFF} SELECT content, min(page_nr) AS first_place, count(*) AS n FROM cls WHERE cls = 'NEW' GROUP BY content",
     "inter_stats": f"WITH {_DIFF} SELECT " + ", ".join(_stat(n, w) for n, w in (("same", "cls = 'SAME'"), ("moved", "cls = 'DEDUP'"), ("dedup", "cls IN ('SAME', 'DEDUP')"), ("diff", "cls = 'DIFF'"), ("new", "cls = 'NEW'"), ("all", "TRUE"))) + " FROM cls",
     "decode_stats": f"WITH {_DIFF} SELECT " + ", ".join(_stat(n, w) for n, w in (("filled", "cls = 'DEDUP'"), ("same", "cls = 'SAME'"), ("new", "cls = 'NEW'"), ("seen", "cls <> 'DIFF'"))) + ", count(*) FILTER (cls = 'DIFF') AS diff_total FROM cls",
-    "intra_stats": f"WITH {_ITEMS}, c AS (SELECT content, count(*) AS n FROM src GROUP BY content) SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS deduped, CAST(sum(n) AS BIGINT) AS pages, count(*) FILTER (n > 1) AS groups, count(*) AS distinct_pages FROM c",
+    "intra_stats": f"WITH {_ITEMS}, c AS (SELECT content, count(*) AS n FROM every GROUP BY content) SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS deduped, CAST(sum(n) AS BIGINT) AS pages, count(*) FILTER (n > 1) AS groups, count(*) AS distinct_pages FROM c",
     "progress": f"WITH {_TEXT} SELECT dump_id, page_nr, 100 * sum(length(content)) OVER (PARTITION BY dump_id ORDER BY page_nr ROWS UNBOUNDED PRECEDING) / sum(length(content)) OVER (PARTITION BY dump_id) AS percent FROM pages",
     "diff_apply": f"WITH {_DIFF} SELECT page_nr, content FROM cls WHERE cls = 'DIFF'",
     "reconstruct": f"WITH {_ITEMS} SELECT page_nr, content FROM src",
-    "intra_dictionary": f"WITH {_ITEMS} SELECT content, min(page_nr) AS first_nr, count(*) AS n FROM src GROUP BY content HAVING count(*) > 1",
+    "intra_dictionary": f"WITH {_ITEMS} SELECT content, min(page_nr) AS first_nr, count(*) AS n FROM every GROUP BY content HAVING count(*) > 1",
     "intra_reconstruct": f"WITH {_TEXT} SELECT dump_id, page_nr, content FROM pages",
     "interval_encode": f"""WITH {_BASE} {_DEDUP}, l AS (SELECT *, lead("left") OVER (PARTITION BY first_nr ORDER BY "left") IS NULL AS last FROM iv) SELECT first_nr, "left", "right", {_le(_WORD, 4)} || {_CODE} AS code FROM l""",
     "pagenr_list": f"WITH {_TEXT} {_MANY} {_GAPS} SELECT dump_id, ord, CASE WHEN gap < 128 THEN {_be('gap + 128', 1)} ELSE {_be('gap', 4)} END AS code FROM nw",
@@ -186,7 +188,8 @@ UNION ALL SELECT 'new pages', count(DISTINCT content), CAST(32 * count(DISTINCT
     "intra_parse": _BYTES,
     "inner_codec": _BYTES,
     "intra_sections": f"WITH {_TEXT}, c AS (SELECT dump_id, content, count(*) AS n FROM pages GROUP BY dump_id, content) SELECT dump_id, count(*) FILTER (n > 1) AS groups, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS filled, count(*) FILTER (n = 1) AS literals FROM c GROUP BY dump_id",
-    "signature_scan": f"WITH {_ITEMS} SELECT page_nr FROM src WHERE contains(content, 'O-001')",
+    "signature_scan": f"WITH {_ITEMS} SELECT page_nr FROM every WHERE contains(content, 'O-001')",
+    "dump_write": f"WITH {_ITEMS} SELECT nr // 16 AS page_nr, string_agg(content, '' ORDER BY nr) AS content FROM p GROUP BY nr // 16",
     "registry": "SELECT 'nation.parquet' AS reference, CAST(512 AS BIGINT) AS pagesize",
     "codec_gzip": _SHA,
     "codec_bzip2": _SHA,

@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codec, hexcode, small
 from ..functions.codec import Method, Reader
 from ..operators import diff, intervals, restore, search, sections, stats
 from ..operators import classify as cl
+from ..sources.shared import scratch, settle
 from . import snapshots as sn
 
 PAGE = sn.PAGE
@@ -20,15 +21,18 @@ def _items(spark, sf):
     return sn.line_items(spark, sf)
 
 
+def _all_items(spark, sf) -> DataFrame:
+    return sn.numbered_items(spark, sf)[0]
+
+
 def _delta(spark, sf) -> DataFrame:
     return cl.classify(*_items(spark, sf), delta=PAGE)
 
 
 def _many(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sources of all pairs, and their references under the source's id."""
+    """All snapshots, and the references of those that have one, under the source's id."""
     pairs = sn.pairs(pages)
-    src = pages.join(pairs.select("dump_id"), "dump_id", "left_semi")
-    return src, pages.withColumnRenamed("dump_id", "ref_id").join(pairs, "ref_id").drop("ref_id")
+    return pages, pages.withColumnRenamed("dump_id", "ref_id").join(pairs, "ref_id").drop("ref_id")
 
 
 def _many_classes(pages: DataFrame) -> DataFrame:
@@ -52,19 +56,19 @@ def page_enumerate(spark, sf):
 
 
 def distinct_pages(spark, sf):
-    return _items(spark, sf)[0].select("content").distinct()
+    return _all_items(spark, sf).select("content").distinct()
 
 
 def content_index(spark, sf):
-    return _items(spark, sf)[0].groupBy("content").agg(F.count("*").alias("n"), F.min("page_nr").alias("first_nr"), F.max("page_nr").alias("last_nr"))
+    return _all_items(spark, sf).groupBy("content").agg(F.count("*").alias("n"), F.min("page_nr").alias("first_nr"), F.max("page_nr").alias("last_nr"))
 
 
 def first_occurrence(spark, sf):
-    return cl.dictionary(_items(spark, sf)[1])
+    return cl.dictionary(_all_items(spark, sf))
 
 
 def inverse_map(spark, sf):
-    return intervals.expand(intervals.intervalize(_items(spark, sf)[1], "content")).select("page_nr", "content")
+    return intervals.expand(intervals.intervalize(_all_items(spark, sf), "content")).select("page_nr", "content")
 
 
 def same_offset(spark, sf):
@@ -111,9 +115,10 @@ def byte_diff(spark, sf):
 
 
 def patch_split(spark, sf):
-    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_size") * 200).alias("n"))
-    cut = parts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / diff.LONGEST).cast("int"))))
-    return cut.select("p_partkey", F.col("piece").cast("long").alias("piece"), F.least(F.lit(diff.LONGEST), F.col("n") - F.col("piece") * diff.LONGEST).cast("long").alias("len"))
+    """Pages that differ from their reference in the first 200 * p_size bytes."""
+    pages = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.expr("rpad(repeat('b', 200 * p_size), 16384, 'a')").cast("binary").alias("content"), F.expr("repeat('a', 16384)").cast("binary").alias("ref_content"))
+    cut = pages.select("p_partkey", F.posexplode(diff.patches_arrow("content", "ref_content")).alias("piece", "p"))
+    return cut.select("p_partkey", F.col("piece").cast("long").alias("piece"), F.col("p.len").cast("long").alias("len"))
 
 
 def diff_size(spark, sf):
@@ -133,7 +138,7 @@ def diff_list(spark, sf):
 
 
 def intervalize(spark, sf):
-    return intervals.intervalize(_items(spark, sf)[0], "content").select("content", "left", "right")
+    return intervals.intervalize(_all_items(spark, sf), "content").select("content", "left", "right")
 
 
 def interval_expand(spark, sf):
@@ -161,14 +166,13 @@ def decode_stats(spark, sf):
 
 
 def intra_stats(spark, sf):
-    return stats.intra_stats(_items(spark, sf)[0])
+    return stats.intra_stats(_all_items(spark, sf))
 
 
 def progress(spark, sf):
-    pages = sn.text_pages(spark, sf).withColumn("n", F.length("content"))
-    upto = Window.partitionBy("dump_id").orderBy("page_nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("dump_id")
-    return pages.select("dump_id", "page_nr", (100 * F.sum("n").over(upto) / F.sum("n").over(whole)).alias("percent"))
+    pages = sn.text_pages(spark, sf).select("dump_id", "page_nr", F.length("content").alias("n"))
+    done = intervals.running(pages, F.col("n"), "done", ("dump_id",))
+    return done.join(pages.groupBy("dump_id").agg(F.sum("n").alias("whole")), "dump_id").select("dump_id", "page_nr", (100 * F.col("done") / F.col("whole")).alias("percent"))
 
 
 def diff_apply(spark, sf):
@@ -178,31 +182,31 @@ def diff_apply(spark, sf):
 
 def reconstruct(spark, sf):
     src, ref = _items(spark, sf)
-    classified = _delta(spark, sf).persist()  # three sections are made of it
-    return restore.reconstruct(src.count(), ref, sections.dedup_section(classified), sections.diff_section(classified), sections.new_section(classified))
+    classified, n = settle(cl.classify(src, ref, delta=PAGE), F.count("*"))  # three sections are made of it
+    return restore.reconstruct(n, ref, sections.dedup_section(classified), sections.diff_section(classified), sections.new_section(classified))
 
 
 def intra_dictionary(spark, sf):
-    return sections.intra_dictionary(_items(spark, sf)[0])
+    return sections.intra_dictionary(_all_items(spark, sf))
 
 
 def intra_reconstruct(spark, sf):
-    pages = sn.text_pages(spark, sf)
+    pages = settle(sn.text_pages(spark, sf))  # cut once for all that is made of them
     fills, literals = sections.intra_split(pages, ("dump_id",))
-    ranked = literals.withColumn("k", F.row_number().over(Window.partitionBy("dump_id").orderBy("page_nr"))).drop("page_nr")
+    ranked = intervals.running(literals, F.lit(1), "k", ("dump_id",)).drop("page_nr")
     return restore.intra_reconstruct(pages.select("dump_id", "page_nr"), fills, ranked, ("dump_id",))
 
 
 def interval_encode(spark, sf):
-    rows = sections.dedup_section(cl.classify(*_items(spark, sf)))
-    last = F.lead("left").over(Window.partitionBy("first_nr").orderBy("left")).isNull()
-    return rows.select("first_nr", "left", "right", last.alias("last")).withColumn("code", hexcode.interval(F.col("left"), F.col("right"), F.col("last"))).drop("last")
+    rows = settle(sections.dedup_section(cl.classify(*_items(spark, sf))))
+    last = rows.groupBy("first_nr").agg(F.max("left").alias("last"))
+    return rows.join(last, "first_nr").select("first_nr", "left", "right", (F.col("left") == F.col("last")).alias("last")).withColumn("code", hexcode.interval(F.col("left"), F.col("right"), F.col("last"))).drop("last")
 
 
 def _gaps(spark, sf) -> DataFrame:
     new = _many_classes(sn.text_pages(spark, sf)).filter("cls = 'NEW'")
-    w = Window.partitionBy("dump_id").orderBy("page_nr")
-    return new.select("dump_id", F.row_number().over(w).cast("long").alias("ord"), F.coalesce(F.col("page_nr") - F.lag("page_nr").over(w) - 1, F.col("page_nr")).alias("gap"))
+    ranked = intervals.running(intervals.previous(new.select("dump_id", "page_nr"), "before", ("dump_id",)), F.lit(1), "ord", ("dump_id",))
+    return ranked.select("dump_id", F.col("ord").cast("long").alias("ord"), F.coalesce(F.col("page_nr") - F.col("before") - 1, F.col("page_nr")).alias("gap"))
 
 
 def pagenr_list(spark, sf):
@@ -210,11 +214,10 @@ def pagenr_list(spark, sf):
 
 
 def pagenr_list_decode(spark, sf):
-    w = Window.partitionBy("dump_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     code = pagenr_list(spark, sf)
     gap = F.conv("code", 16, 10).cast("long")
     gap = F.when(F.length("code") == 2, gap - 128).otherwise(gap)
-    return code.withColumn("gap", gap).select("dump_id", (F.sum(F.col("gap") + 1).over(w) - 1).alias("page_nr"))
+    return intervals.running(code, gap + 1, "n", ("dump_id",), "ord").select("dump_id", (F.col("n") - 1).alias("page_nr"))
 
 
 def patch_encode(spark, sf):
@@ -276,7 +279,7 @@ def msg_padding(spark, sf):
 
 
 def archive_sections(spark, sf):
-    classified = _delta(spark, sf).persist()
+    classified = settle(_delta(spark, sf))
     span = F.col("right") - F.col("left")
     width = F.when(span == 0, 4).when(span < 256, 5).when(span < 65536, 6).otherwise(8)
     row = lambda df, name, size: df.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes")).select(F.lit(name).alias("section"), "entries", "bytes")
@@ -293,11 +296,11 @@ _HEX = "dump_id long, page_nr long, content_hex string"
 
 
 def _archived(spark, sf, method_of) -> DataFrame:
-    """Packs every paired document against its reference, as bytes, unpacks the archive and cuts it into pages."""
+    """Packs every document against its reference (nothing where it has none), as bytes, unpacks the archive and cuts it into pages."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("dump_id"), F.col("text").cast("binary").alias("src"))
     pairs = sn.pairs(sn.text_pages(spark, sf))
     refs = docs.select(F.col("dump_id").alias("ref_id"), F.col("src").alias("ref"))
-    both = docs.join(pairs, "dump_id").join(refs, "ref_id").select("dump_id", "src", "ref")
+    both = docs.filter("length(src) > 0").join(pairs, "dump_id", "left").join(refs, "ref_id", "left").select("dump_id", "src", F.coalesce("ref", F.lit(b"")).alias("ref"))
 
     def run(batches):
         for batch in batches:
@@ -344,7 +347,16 @@ def _whole(inner: str):
 
 
 def signature_scan(spark, sf):
-    return search.signature_scan(_items(spark, sf)[0], F.lit("O-001"))
+    return search.signature_scan(_all_items(spark, sf), F.lit("O-001"))
+
+
+def dump_write(spark, sf):
+    """All items written as one binary file by many tasks, and scanned again in pages of 512 bytes, in ranges of 64 KB."""
+    from ..sources.dump import read_pages, write_pages
+
+    path = scratch(spark).removeprefix("file://")
+    write_pages(_all_items(spark, sf).select("page_nr", F.col("content").cast("binary").alias("content")), path)
+    return read_pages(spark, path, 512, split=1 << 16).select("page_nr", F.col("content").cast("string").alias("content"))
 
 
 def dump_scan(spark, sf):
@@ -375,6 +387,6 @@ QUERIES = {
         diff_list, intervalize, interval_expand, interval_total, dedup_groups, new_groups, inter_stats, decode_stats, intra_stats, progress,
         diff_apply, reconstruct, intra_dictionary, intra_reconstruct, interval_encode, pagenr_list, pagenr_list_decode, patch_encode, diff_encode,
         diff_decode, le_be, header_encode, header_decode, method_parse, binlen, msg_padding, archive_sections, archive_parse, intra_sections,
-        intra_parse, inner_codec, signature_scan, dump_scan, registry,
+        intra_parse, inner_codec, signature_scan, dump_scan, dump_write, registry,
     )
 } | {"codec_gzip": _whole("gzip"), "codec_bzip2": _whole("bzip2"), "codec_xz": _whole("7zip")}

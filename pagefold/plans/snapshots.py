@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..sources.shared import settle
+
 PAGE = 32
 TEXT_PAGE = 64
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -40,17 +42,11 @@ def number(df: DataFrame, keys: tuple[str, ...], name: str = "page_nr") -> tuple
     return dealt.withColumn(name, start + rank - 1).drop("__part"), total
 
 
-_numbered: dict[tuple[str, str], tuple[DataFrame, int]] = {}
-
-
 def numbered_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """(page_nr, content) of all of ``lineitem``; numbered once for an application and kept."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _numbered:
-        rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER, F.expr(CONTENT).alias("content"))
-        pages, n = number(rows, ORDER)
-        _numbered[key] = (pages.select("page_nr", "content").persist(), n)
-    return _numbered[key]
+    """(page_nr, content) of all of ``lineitem``, and their number; a table that the query's branches read."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER, F.expr(CONTENT).alias("content"))
+    pages, n = number(rows, ORDER)
+    return settle(pages.select("page_nr", "content")), n
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

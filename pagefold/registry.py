@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import threading
+import time
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.codec import FormatError
 from .sources import archive
 from .sources.dump import read_pages
 
@@ -15,20 +18,51 @@ class Registry:
     """``add_reference``, ``del_reference``, ``compress`` and ``decompress``; jobs run side by side.
 
     A reference is known by its path and page size; adding one again replaces it, deleting an unknown
-    one does nothing.  A request's future carries its result or its error.
+    one does nothing.  A request's future carries its result or its error; a request that fails for
+    other reasons than what was asked is tried ``attempts`` times, ``pause`` seconds apart.  References
+    that nobody has used for a while are let go by ``expire`` and loaded again when needed.
     """
 
-    def __init__(self, spark: SparkSession, workers: int = 4):
-        self.spark, self._pages, self._lock = spark, {}, threading.Lock()
-        self._pool = ThreadPoolExecutor(workers)
+    #: Errors of the request itself: trying again would not help.
+    FINAL = (FormatError, FileExistsError, FileNotFoundError, ValueError)
+
+    def __init__(self, spark: SparkSession, workers: int = 4, attempts: int = 3, pause: float = 30.0):
+        self.spark, self._pages, self._used, self._lock = spark, {}, {}, threading.Lock()
+        self._pool, self.attempts, self.pause = ThreadPoolExecutor(workers), attempts, pause
+
+    def _submit(self, work) -> Future:
+        def tried():
+            for left in range(self.attempts - 1, -1, -1):
+                try:
+                    return work()
+                except self.FINAL:
+                    raise
+                except Exception:
+                    if not left:
+                        raise
+                    time.sleep(self.pause)
+
+        return self._pool.submit(tried)
+
+    def expire(self, seconds: float) -> list[tuple[str, int]]:
+        """Lets go of references that no request has used for so long, and returns them."""
+        with self._lock:
+            old = [k for k in self._pages if time.monotonic() - self._used.get(k, 0.0) >= seconds]
+            gone = [self._pages.pop(k) for k in old]
+        for pages in gone:
+            pages.unpersist()
+        return sorted(old)
 
     def _load(self, path: str, pagesize: int) -> DataFrame:
+        if "://" not in path and not os.path.exists(path):
+            raise FileNotFoundError(path)
         return read_pages(self.spark, path, pagesize).persist()
 
     def add_reference(self, path: str, pagesize: int = 4096) -> DataFrame:
         pages = self._load(path, pagesize)
         with self._lock:
             old, self._pages[path, pagesize] = self._pages.get((path, pagesize)), pages
+            self._used[path, pagesize] = time.monotonic()
         if old is not None and old is not pages:
             old.unpersist()
         return pages
@@ -41,6 +75,7 @@ class Registry:
 
     def reference(self, path: str, pagesize: int = 4096) -> DataFrame:
         with self._lock:
+            self._used[path, pagesize] = time.monotonic()
             if (path, pagesize) in self._pages:
                 return self._pages[path, pagesize]
         pages = self._load(path, pagesize)  # outside the lock
@@ -52,7 +87,7 @@ class Registry:
             return sorted(self._pages)
 
     def compress(self, ref_path: str, src_path: str, target: str, pagesize: int = 4096, **how) -> Future:
-        return self._pool.submit(lambda: archive.compress(self.spark, ref_path, src_path, target, pagesize, ref=self.reference(ref_path, pagesize), **how))
+        return self._submit(lambda: archive.compress(self.spark, ref_path, src_path, target, pagesize, ref=self.reference(ref_path, pagesize), **how))
 
     def decompress(self, path: str, target: str, mode: str = "errorifexists") -> Future:
         def work():
@@ -60,7 +95,7 @@ class Registry:
             ref = self.reference(a["ref_path"], a["pagesize"]) if a["kind"] == "interdedup" else None
             return archive.decompress(self.spark, path, target, ref, mode)
 
-        return self._pool.submit(work)
+        return self._submit(work)
 
     def close(self) -> None:
         self._pool.shutdown(wait=True)

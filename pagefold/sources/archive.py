@@ -182,7 +182,10 @@ def compress_intra(spark: SparkSession, src_path: str, target: str, pagesize: in
             for r in literals.orderBy("page_nr").select("content").toLocalIterator():
                 out.write(r.content)
 
-    publish(target, mode, write)
+    try:
+        publish(target, mode, write)
+    finally:
+        src.unpersist()
 
 
 def compress_whole(src_path: str, target: str, inner: str, level: int = 9, mode: str = "errorifexists", pagesize: int = 4096) -> None:

@@ -179,3 +179,58 @@ def test_signature_in_binary_pages(spark, files):
     path, _, src = files
     got = signature_scan(read_pages(spark, str(path / "src"), PAGE), F.lit(bytearray(src[1000:1010])))
     assert sorted(r.page_nr for r in got.collect()) == [1, 40]
+
+
+def test_pages_are_written_by_many_tasks(spark, tmp_path):
+    """Any order and partitioning, a short tail, none at all; gaps and short inner pages are refused."""
+    rows = [(k, bytes([k % 251]) * 16) for k in range(500)] + [(500, b"tail")]
+    pages = spark.createDataFrame(rows, "page_nr long, content binary").repartition(7)
+    target = str(tmp_path / "many")
+    write_pages(pages, target)
+    assert open(target, "rb").read() == b"".join(c for _, c in rows)
+    assert sorted((r.page_nr, bytes(r.content)) for r in read_pages(spark, target, 16, split=64).collect()) == rows
+    write_pages(pages.limit(0), target, "overwrite")
+    assert open(target, "rb").read() == b""
+    for bad in (pages.filter("page_nr <> 3"), pages.filter("page_nr < 500").union(pages.filter("page_nr = 500").selectExpr("500L", "content")).union(spark.createDataFrame([(501, b"x" * 16)], pages.schema))):
+        with pytest.raises(ValueError):
+            write_pages(bad, target, "overwrite")
+
+
+def test_requests_are_tried_again_and_references_expire(spark, tmp_path):
+    path = tmp_path
+    (path / "r").write_bytes(b"ab" * 100)
+    r, calls = Registry(spark, 1, attempts=3, pause=0.0), []
+
+    def flaky(error, times):
+        def work():
+            calls.append(1)
+            if len(calls) < times:
+                raise error
+            return "done"
+
+        return work
+
+    assert r._submit(flaky(OSError("lost"), 3)).result() == "done" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(OSError):
+        r._submit(flaky(OSError("lost"), 9)).result()
+    assert len(calls) == 3
+    calls.clear()
+    with pytest.raises(FileExistsError):
+        r._submit(flaky(FileExistsError("there"), 9)).result()
+    assert len(calls) == 1
+    r.add_reference(str(path / "r"), 16)
+    assert r.expire(1000) == [] and r.expire(0) == [(str(path / "r"), 16)] and r.references() == []
+    assert r.reference(str(path / "r"), 16).count() == 13
+    r.close()
+
+
+def test_two_level_ranks_across_blocks(spark, monkeypatch):
+    from pagefold.operators import intervals
+
+    monkeypatch.setattr(intervals, "BLOCK", 4)
+    rows = [(d, n) for d in (1, 2) for n in (0, 1, 5, 6, 7, 30, 31, 90)]
+    df = spark.createDataFrame(rows, "dump_id long, page_nr long").repartition(3)
+    both = intervals.running(intervals.previous(df, "before", ("dump_id",)), F.lit(1), "k", ("dump_id",)).collect()
+    want = [(d, n, k + 1, None if k == 0 else [0, 1, 5, 6, 7, 30, 31, 90][k - 1]) for d in (1, 2) for k, n in enumerate((0, 1, 5, 6, 7, 30, 31, 90))]
+    assert sorted((r.dump_id, r.page_nr, r.k, r.before) for r in both) == want
