@@ -17,15 +17,15 @@ a hundred keys in a message at a TB of text.
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shared import settle  # noqa: F401  (the operators take it from here)
+
 RANGES, BATCH_ROWS, MOST_PARTS = 20_000, 1000, 2048
 #: Bytes of a block, least and most, and keys of a bucket.
 BLOCK_BYTES, BUCKET_KEYS = (4 << 20, 32 << 20), 1 << 22
@@ -210,22 +210,6 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where none is set and all runs on one machine, as in tests, one in its temporary space is used.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        where = "file://" + os.path.join(tempfile.gettempdir(), "pagefold-checkpoints")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def in_batches(docs: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` in batches of at most BATCH_ROWS texts, so that long texts do not pile up in a worker.
 
@@ -237,21 +221,6 @@ def in_batches(docs: DataFrame, run, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def settle(df: DataFrame, *measures: F.Column):
-    """Writes ``df`` as a table in the shared folder and reads it again; with ``measures``, also their values.
-
-    This cuts the lineage in a way that survives lost executors; the files go when the application
-    ends.  ``measures`` are aggregates of the rows, taken from the files and so from what was written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagefold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    written = spark.read.schema(df.schema).parquet(path)
-    return (written, *written.agg(*measures).first()) if measures else written
-
-
 def free(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken, name = {c.lower() for c in df.columns}, f"__{name}"
