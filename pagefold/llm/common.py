@@ -9,10 +9,10 @@ asked (``answer``), and the block finishes its own documents (``finish``).  A
 key that a third of the rows share is sent once per block, never once per row,
 so no bucket can grow hot.
 
-Blocks grow with the corpus up to a bound that a worker's memory sets, so up to
-``MOST_PARTS`` of them messages are as many as buckets times a constant; beyond
-that their number grows with the square of the corpus, which still leaves about
-a hundred keys in a message at a TB of text.
+Blocks and buckets grow with the corpus up to bounds that a worker's memory
+sets, so that messages stay long; beyond these bounds the number of messages
+grows with the square of the corpus, which still leaves some forty keys in a
+message at a TB of text.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.shared import settle  # noqa: F401  (the operators take it from here)
 
 RANGES, BATCH_ROWS, MOST_PARTS = 20_000, 1000, 2048
-#: Bytes of a block, least and most, and keys of a bucket.
-BLOCK_BYTES, BUCKET_KEYS = (4 << 20, 32 << 20), 1 << 22
+#: Bytes of a block and keys of a bucket, least and most.
+BLOCK_BYTES, BUCKET_KEYS = (4 << 20, 32 << 20), (1 << 20, 1 << 21)
 #: What a row weighs besides its text, and bits of a block key that tell parts of one doc_id apart.
 ROW_BYTES, SUB = 64, 20
 U64 = np.uint64
@@ -164,7 +164,7 @@ def windows(values: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that sorts the keys, the sorted keys, and where each distinct one begins among them.
+    """A stable order that sorts the keys, the sorted keys, and where each distinct one begins among them.
 
     Keys are sorted by their leading bits with their place in the others, several times faster than
     ``argsort``; should keys differ in their last bits only and come out of order, they are sorted in full.
@@ -175,7 +175,7 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = (both & ((U64(1) << bits) - U64(1))).astype(np.int64)
     s = keys[order]
     if (s[1:] < s[:-1]).any():
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         s = keys[order]
     new = np.ones(len(s), bool)
     np.not_equal(s[1:], s[:-1], out=new[1:])
@@ -242,7 +242,7 @@ def _between(total: int, bounds: tuple[int, int]) -> int:
 def buckets_for(keys: int) -> int:
     """Hash buckets, a power of two, for so many keys."""
     n = 16
-    while n * BUCKET_KEYS < keys:
+    while n * _between(keys, BUCKET_KEYS) < keys:
         n *= 2
     return n
 

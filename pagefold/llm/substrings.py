@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SUB, answer, ask, blocks, buckets_for, finish, hashed, in_batches, planes, shielded, split_buckets, table, texts, unplanes, windows, words
+from .common import SUB, answer, ask, blocks, buckets_for, finish, hashed, in_batches, ordered, planes, shielded, split_buckets, table, texts, unplanes, windows, words
 
 WIDTH = 50
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -91,20 +91,15 @@ def without(text: bytes, mask: np.ndarray) -> bytes:
 
 
 def _bits(bucket: int, rows: list[dict]) -> list[tuple]:
+    rows.sort(key=lambda r: r["__g"])  # blocks in the order of doc_id, so that a key's first place is its earliest
     keys = [unplanes(r["keys"]) for r in rows]
-    u = np.concatenate(keys)
-    g = np.repeat(np.array([r["__g"] >> SUB for r in rows], np.int64), [len(k) for k in keys])
-    order = np.lexsort((g, u))
-    su, sg = u[order], g[order]
-    first = np.ones(len(u), bool)
-    first[1:] = su[1:] != su[:-1]
-    later = np.empty(len(u), bool)
-    later[order] = sg > sg[first][np.cumsum(first) - 1]
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        out.append((r["__g"], bucket, "bits", np.packbits(later[at : at + len(k)]).tobytes()))
-        at += len(k)
-    return out
+    place = np.unique([r["__g"] >> SUB for r in rows], return_inverse=True)[1].astype(np.int32)
+    order, _, new = ordered(np.concatenate(keys))
+    at = np.repeat(place, [len(k) for k in keys])[order]
+    later = np.empty(len(order), bool)
+    later[order] = at > at[new][np.cumsum(new, dtype=np.int32) - 1]
+    ends = np.cumsum([len(k) for k in keys])
+    return [(r["__g"], bucket, "bits", np.packbits(later[e - len(k) : e]).tobytes()) for r, k, e in zip(rows, keys, ends)]
 
 
 def _repeats(docs: DataFrame, columns: list[str], width: int, work, schema: str) -> DataFrame:

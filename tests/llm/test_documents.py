@@ -113,7 +113,7 @@ def test_messages_grow_with_the_corpus_only():
     def messages(total):
         return -(-total // common._between(total, common.BLOCK_BYTES)) * common.buckets_for(total // 6)
 
-    for gb, keys in ((0.1, 250), (1, 250), (10, 250), (100, 250), (1000, 80)):
+    for gb, keys in ((0.1, 250), (1, 250), (10, 250), (100, 250), (1000, 40)):
         assert gb * 1e9 / 6 / messages(int(gb * 1e9)) >= keys, gb
     for total in (10**10, 10**13):
         assert common._between(total, common.BLOCK_BYTES) <= 32 << 20
