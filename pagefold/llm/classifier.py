@@ -27,13 +27,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import in_batches, shielded, table, texts
 
 SAMPLE, FILTERS, EMBED, STRIDE, CHUNK, HIDDEN = 6000, 32, 8, 4, 128, 16
 EPOCHS, BATCH, RATE, DECAY, THRESHOLD = 8, 32, 0.004, 1e-3, 0.3
-SLICE, SAMPLE_BYTES = 1 << 20, 64 << 20
+SLICE, SAMPLE_BYTES = 1 << 18, 64 << 20
 
 
 def held_out() -> F.Column:
@@ -189,15 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
     chosen = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label")).distinct().orderBy(*order).limit(sample)
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = text.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
-    one = both.groupBy("doc_id", "label").agg(F.min_by(F.octet_length("text"), F.xxhash64("text")).alias("bytes"), F.min(F.xxhash64("text")).alias("h"))
-    upto, wanted = 0, []
-    for r in one.orderBy(*order).collect():  # at most ``sample`` rows of four numbers
-        upto += r.bytes
-        if upto <= sample_bytes:
-            wanted.append(tuple(r))
-    wanted = docs.sparkSession.createDataFrame(wanted, one.schema).drop("bytes")
-    rows = text.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "label"]).collect()
+    one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of at most ``sample`` rows
+    rows = one.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("doc_id", "label", "text").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label))
     label = np.array([r.label for r in rows], np.float64)
     if len(set(label)) < 2:
