@@ -48,7 +48,7 @@ LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 #: Bytes of a block, least and most: a block takes about thirty times as much memory.
-BLOCK_BYTES = (3 << 20, 8 << 20)
+BLOCK_BYTES = (4 << 20, 8 << 20)
 _ODD, _CONTEXT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES)
 
 
@@ -152,7 +152,7 @@ class Blocks:
             raise ValueError("least is from 1 to 255")
         self.spark, self.least, self.depth = docs.sparkSession, least, depth
         self.blocked, total = hash_blocks(docs, BLOCK_BYTES)
-        self.buckets = buckets_for(total // 2)  # two or three keys a word of six bytes
+        self.buckets = buckets_for(total // 4)  # about two keys a word of six bytes, half of them repeated in a block
         self.often = self._often()
 
     def _often(self) -> DataFrame:
