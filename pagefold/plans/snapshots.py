@@ -8,7 +8,7 @@ same page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import settle
 
@@ -22,6 +22,14 @@ CONTENT = """rpad(CASE WHEN l_linenumber <= 2 THEN concat(l_returnflag, l_linest
   ELSE concat(l_returnflag, l_linestatus, '-', lpad(CAST(l_partkey AS STRING), 12, '0'), '-', lpad(CAST(l_orderkey AS STRING), 14, '0')) END, 32, '.')"""
 
 
+def _place(x: Column, cuts: list[float], before: int) -> Column:
+    """How many of the sorted cuts are at or below ``x``, plus ``before``: a binary search of nested cases."""
+    if not cuts:
+        return F.lit(before)
+    k = len(cuts) // 2
+    return F.when(x >= cuts[k], _place(x, cuts[k + 1 :], before + k + 1)).otherwise(_place(x, cuts[:k], before))
+
+
 def number(df: DataFrame, keys: tuple[str, ...], name: str = "page_nr") -> tuple[DataFrame, int]:
     """Numbers from 0 in the order of unique ``keys``, and the row count, without a single-task sort.
 
@@ -30,7 +38,7 @@ def number(df: DataFrame, keys: tuple[str, ...], name: str = "page_nr") -> tuple
     """
     lead = keys[0]
     cuts = sorted(set(df.approxQuantile(lead, [k / PARTS for k in range(1, PARTS)], 1 / (4 * PARTS))))
-    part = F.aggregate(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), F.lit(0), lambda n, c: n + (F.col(lead) >= c).cast("int"))
+    part = _place(F.col(lead), cuts, 0)
     dealt = df.withColumn("__part", part)
     sizes = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())  # at most PARTS rows
     starts, total = [], 0
