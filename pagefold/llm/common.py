@@ -102,8 +102,7 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix((prefix[width:] - prefix[:-width]) * _powers(_INVERSE, n - width + 1))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_INSIDE = bytes(b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256))
 _BYTE = np.random.default_rng(1).integers(0, 1 << 64, 256, dtype=U64)
 _NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 HASHED_AT_ONCE = 1 << 16
@@ -116,9 +115,9 @@ def _hash_buffer(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     buffer, and mixed with its length; unequal words clash with a chance of about 2^-58 a pair.
     """
     a = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[a]
-    edges = np.flatnonzero(np.diff(inside))
+    inside = np.zeros(len(a) + 2, bool)
+    inside[1:-1] = np.frombuffer(raw.translate(_INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
     prefix = np.zeros(len(a) + 1, dtype=U64)
     np.cumsum(_BYTE[a] * _powers(_BASE, len(a)), dtype=U64, out=prefix[1:])
@@ -190,6 +189,28 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], inverse
 
 
+class Distinct:
+    """The distinct keys of an array, sorted (``u``), and the way between them and the array's places.
+
+    Values go back in one scatter of their own width, which costs less than an array of places (``distinct``).
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.order, s, new = ordered(keys)
+        self.first = np.flatnonzero(new)
+        self.u, self.sizes = s[self.first], np.diff(np.append(self.first, len(s)))
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        """How many of each key's places are set in ``mask``."""
+        return np.add.reduceat(mask[self.order], self.first, dtype=np.int64)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Each place's value, of one for each key."""
+        out = np.empty(len(self.order), values.dtype)
+        out[self.order] = np.repeat(values, self.sizes)
+        return out
+
+
 def planes(u: np.ndarray) -> bytes:
     """Sorted 64-bit keys as eight byte planes: the shared leading bytes then compress away."""
     return u.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()

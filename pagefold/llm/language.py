@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASK, REPLY, U64, answer, ask, ask_rows, buckets_for, distinct, finish, hash_blocks, hashed, mix, ordered, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
+from .common import ASK, REPLY, U64, Distinct, answer, ask, ask_rows, buckets_for, distinct, finish, hash_blocks, hashed, mix, ordered, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
 
 LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
@@ -91,13 +91,6 @@ class Tokens:
         return h & _CONTEXT
 
 
-def _summed(parts: list[tuple]) -> tuple:
-    """(key, count) arrays with equal keys added up."""
-    keys, counts = (np.concatenate(x) for x in zip(*parts))
-    u, inverse = distinct(keys)
-    return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
-
-
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
     """The distinct keys of all, where each key stands among them, and their summed counts."""
     u, inverse = distinct(np.concatenate(keys))
@@ -160,13 +153,13 @@ class Blocks:
         depth, least, n_buckets = self.depth, self.least, self.buckets
 
         def emit(g, part):
-            t, _, u, inverse = _contexts(part, depth)
-            learnt = _learnt(t, part)
-            c = np.bincount(inverse[np.tile(learnt, min(2, depth))], minlength=len(u))
+            t, _, found = _contexts(part, depth)
+            learnt, u = _learnt(t, part), found.u
+            c = found.count(np.tile(learnt, min(2, depth)))
             c = np.minimum(c, least).astype(np.uint8)  # sums reach ``least`` as those of the full counts do
             out = [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
-            w, place = distinct(t.token)
-            n = np.bincount(place[learnt], minlength=len(w))
+            words = Distinct(t.token)
+            w, n = words.u, words.count(learnt)
             return out + [(b, g, "word", planes(w[i:j]), packed(n[i:j])) for b, i, j in split_buckets(w, n_buckets)]
 
         def counts(r):
@@ -211,7 +204,7 @@ class Blocks:
         return total[:-1], int(total[-1])
 
     def candidates(self) -> DataFrame:
-        """(context, s, total, classes, counts): each context that occurs ``least`` times, with its suffix and its counts by class of next token."""
+        """(context, s, total, classes, counts, more): each context that occurs ``least`` times, with its suffix and its counts by class of next token, as ``packed`` has them: in ``more`` those from 255 on."""
         found = self._candidates(1, 2)
         for low, high in [(3, self.depth)] * (self.depth > 2):  # in two rounds, which halves what is shuffled at once
             found = found.union(self._candidates(low, high))
@@ -239,53 +232,59 @@ class Blocks:
             return ask_rows(out)
 
         def run(key, part):
-            parts, above = [], []
+            keys, counts, own, above = [], [], [], []
             for r in part.to_pylist():
                 u = unplanes(r["keys"])
-                n = 0
+                first = np.zeros(len(u), bool)
                 if r["kind"] == "more":
-                    v = np.unique(u & _CONTEXT)
-                    n = len(v)
-                    above.append((v, np.frombuffer(r["extra"], U64, n)))
-                parts.append((u, unpacked(r["extra"][8 * n :], len(u))))
-            u, n = _summed(parts)
-            contexts, inverse = distinct(u & _CONTEXT)
-            total = np.bincount(inverse, n, len(contexts)).astype(np.int64)
-            s = np.zeros(len(contexts), U64)
-            for v, x in above:
-                s[np.searchsorted(contexts, v)] = x
+                    first[0] = True
+                    first[1:] = (u[1:] ^ u[:-1]) & _CONTEXT != 0
+                n = int(first.sum())
+                above.append(np.frombuffer(r["extra"], U64, n))
+                own.append(first)
+                keys.append(u)
+                counts.append(unpacked(r["extra"][8 * n :], len(u)))
+            u, place, n = _added(keys, counts)
+            new = np.ones(len(u), bool)
+            np.not_equal(u[1:] & _CONTEXT, u[:-1] & _CONTEXT, out=new[1:])
+            at, which = np.flatnonzero(new), np.cumsum(new) - 1
+            total, s = np.add.reduceat(n, at), np.zeros(len(at), U64)
+            s[which[place[np.concatenate(own)]]] = np.concatenate(above)
             often = total >= least
-            keep = often[inverse]
-            classes, n, sizes = (u & ~_CONTEXT).astype(np.uint8)[keep], n[keep], np.bincount(inverse, minlength=len(contexts))[often]
-            ends = np.cumsum(sizes)
-            bounds = list(zip((ends - sizes).tolist(), ends.tolist()))
-            cols = [contexts[often].view(np.int64), s[often].view(np.int64), total[often], pa.array([classes[i:j].tobytes() for i, j in bounds], pa.binary()), pa.array([packed(n[i:j]) for i, j in bounds], pa.binary())]
-            return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["context", "s", "total", "classes", "counts"])
-
-        return settle(finish(self.blocked, self.often.filter("kind = 'often'"), work, ASK).groupBy("__b").applyInArrow(run, "context long, s long, total long, classes binary, counts binary"))
+            keep = often[which]
+            n, large, ends = n[keep], n[keep] >= 255, np.cumsum(np.diff(np.append(at, len(u)))[often])
+            cols = [
+                *((u[at] & _CONTEXT)[often].view(np.int64), s[often].view(np.int64), total[often]),
+                _pieces((u[keep] & ~_CONTEXT).astype(np.uint8), ends),
+                _pieces(np.minimum(n, 255).astype(np.uint8), ends),
+                _pieces(n[large].view(np.uint8), 8 * np.append(0, np.cumsum(large))[ends]),
+            ]
+            return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["context", "s", "total", "classes", "counts", "more"])
+
+        return settle(finish(self.blocked, self.often.filter("kind = 'often'"), work, ASK).groupBy("__b").applyInArrow(run, "context long, s long, total long, classes binary, counts binary, more binary"))
 
     def grow(self, share: float = 0.0, gain: float = GAIN) -> Tree:
         root, n_words = self.words()
         tokens = int(root.sum())
         known = self.candidates().filter(F.col("total") >= share * tokens)
-        upper = known.select(F.col("context").alias("s"), F.col("classes").alias("classes2"), F.col("counts").alias("counts2"))
-        deep = known.filter("s <> 0").join(upper, "s").select("context", "s", "total", "classes", "counts", "classes2", "counts2")
-        nothing = F.lit(None).cast("binary")
-        both = known.filter("s = 0").select("context", "s", "total", "classes", "counts", nothing.alias("classes2"), nothing.alias("counts2")).union(deep)
+        by_class = ("classes", "counts", "more")
+        upper = known.select(F.col("context").alias("s"), *(F.col(c).alias(f"{c}2") for c in by_class))
+        columns = ["context", "s", "total", *by_class, *(f"{c}2" for c in by_class)]
+        nothing = [F.lit(None).cast("binary").alias(f"{c}2") for c in by_class]
+        both = known.filter("s = 0").select(*columns[:6], *nothing).union(known.filter("s <> 0").join(upper, "s").select(*columns))
 
         def run(batches):
-            def table(classes, counts):
+            def counts(classes, n, more):
                 out = np.zeros((len(classes), CLASSES))
-                for k, (x, n) in enumerate(zip(classes, counts)):
-                    if x is None:
-                        out[k] = root
-                    else:
-                        out[k, np.frombuffer(x, np.uint8)] = unpacked(n, len(x))
+                sizes, x = _joined(classes)
+                n = _joined(n)[1].astype(np.int64)
+                n[n == 255] = _joined(more)[1].view(np.int64)
+                out[np.repeat(np.arange(len(out)), sizes), x] = n
+                out[sizes == 0] = root
                 return out
 
             for batch in batches:
-                own, above = (table(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()) for k in (3, 5))
-                d = divergence(own, above)
+                d = divergence(counts(*batch.columns[3:6]), counts(*batch.columns[6:9]))
                 yield pa.RecordBatch.from_arrays([x.filter(pa.array(d - (CLASSES - 1) / 2 >= gain)) for x in batch.columns[:3]], ["context", "s", "total"])
 
         level = kept = settle(both.mapInArrow(run, "context long, s long, total long"))
@@ -295,6 +294,17 @@ class Blocks:
         return Tree(settle(kept.select("context", "total").distinct()), tokens, n_words, self.least, self.depth)
 
 
+def _pieces(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: consecutive pieces of some bytes, up to ``ends``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _joined(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of binary values, null ones' zero, and all their bytes."""
+    raw = [x or b"" for x in values.to_pylist()]
+    return np.fromiter(map(len, raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), np.uint8)
+
+
 def divergence(own: np.ndarray, above: np.ndarray) -> np.ndarray:
     """n times the Kullback-Leibler divergence of each row of counts from the row of its suffix, in nats."""
     p, q = own / own.sum(axis=1, keepdims=True), above / above.sum(axis=1, keepdims=True)
@@ -307,40 +317,41 @@ def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
 
 
 def _contexts(part: pa.Table, depth: int) -> tuple:
-    """Tokens; the ids of their contexts of one and two words; the distinct ones; where each stands among them."""
+    """Tokens; the ids of their contexts of one and two words; the distinct ones of all."""
     t = Tokens(texts(part.column("text")), depth)
     ids = t.contexts(2)
-    return t, ids, *distinct(np.concatenate(ids))
+    return t, ids, Distinct(np.concatenate(ids))
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length, where the masks are set; masks of those that may occur often, as do then their suffixes; the keys of ``_contexts`` that do, and where each id's stand."""
-    t, ids, u, inverse = _contexts(part, depth)
-    often = _bits(by, "often", u, n_buckets)
-    hits = list(np.logical_and.accumulate(often[inverse].reshape(min(2, depth), -1)))
+    """Tokens; the ids of their contexts by length, where the masks are set; masks of those that may occur often, as do then their suffixes; what ``_contexts`` found, and which of its keys may."""
+    t, ids, found = _contexts(part, depth)
+    often = _bits(by, "often", found.u, n_buckets)
+    hits = list(np.logical_and.accumulate(found.spread(often).reshape(min(2, depth), -1)))
     before = np.arange(len(t.token)) - 1  # a text's first token stands for the one before it
     before[t.first] = t.first
     for k in range(3, depth + 1):
         hits.append(hits[1] & hits[-1][before])
         ids.append(t.deeper(k, hits[-1]))
-    return t, ids, hits, u[often], (np.cumsum(often) - 1)[inverse].reshape(min(2, depth), -1)
+    return t, ids, hits, found, often
 
 
-def _deep(ids: list[np.ndarray], hits: list[np.ndarray]) -> tuple:
-    """The distinct contexts of three words and more, and where each stands among them."""
-    return distinct(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]))
+def _deep(ids: list[np.ndarray], hits: list[np.ndarray]) -> Distinct:
+    """The distinct contexts of three words and more."""
+    return Distinct(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]))
 
 
 def _retained(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
     """Tokens; the ids of their contexts by length; where each length has retained ones, and their totals."""
-    t, ids, hits, u, at = _found(part, by, depth, n_buckets)
-    kept = _answered(by, "kept", u, n_buckets)
-    v, inverse = _deep(ids, hits)
-    deep, done, out = _answered(by, "deep", v, n_buckets)[inverse], 0, []
+    t, ids, hits, found, often = _found(part, by, depth, n_buckets)
+    total = np.zeros(len(often))
+    total[often] = _answered(by, "kept", found.u[often], n_buckets)
+    totals, deep = found.spread(total).reshape(min(2, depth), -1), _deep(ids, hits)
+    deep, done, out = deep.spread(_answered(by, "deep", deep.u, n_buckets)), 0, []
     for k, hit in enumerate(hits):
         place = np.flatnonzero(hit)
         if k < 2:
-            total = kept[at[k][place]]
+            total = totals[k][place]
         else:
             total, done = deep[done : done + len(place)], done + len(place)
         out.append((place[total > 0], total[total > 0]))
@@ -364,9 +375,9 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - (n_buckets.bit_length() - 1)).cast("int"))
 
     def wanted(part, by):
-        _, ids, hits, u, _ = _found(part, by, depth, n_buckets)
-        g, v = part.column("__g")[0].as_py(), _deep(ids, hits)[0]
-        return ask_rows([(b, g, kind, planes(x[i:j]), None) for kind, x in (("kept", u), ("deep", v)) for b, i, j in split_buckets(x, n_buckets)])
+        _, ids, hits, found, often = _found(part, by, depth, n_buckets)
+        g, v = part.column("__g")[0].as_py(), _deep(ids, hits).u
+        return ask_rows([(b, g, kind, planes(x[i:j]), None) for kind, x in (("kept", found.u[often]), ("deep", v)) for b, i, j in split_buckets(x, n_buckets)])
 
     def chosen(key, asked, tree_part):
         tree_part = tree_part.sort_by("context")  # as signed numbers: one bucket is on one side of zero
@@ -385,14 +396,14 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     _free(docs.sparkSession)
 
     def keys_of(part, by):
-        """Tokens; where retained contexts are, and their totals, by length; distinct pairs, and where each stands among them."""
+        """Tokens; where retained contexts are, and their totals, by length; distinct pairs."""
         t, ids, hits = _retained(part, by, depth, n_buckets)
-        return t, hits, *distinct(np.concatenate([mix(x[at] + mix(t.token[at])) for x, (at, _) in zip(ids, hits)]))
+        return t, hits, Distinct(np.concatenate([mix(x[at] + mix(t.token[at])) for x, (at, _) in zip(ids, hits)]))
 
     def emit(part, by):
-        t, hits, u, inverse = keys_of(part, by)
-        learnt = _learnt(t, part)
-        c = np.bincount(inverse[np.concatenate([learnt[at] for at, _ in hits])], minlength=len(u))
+        t, hits, pairs = keys_of(part, by)
+        learnt, u = _learnt(t, part), pairs.u
+        c = pairs.count(np.concatenate([learnt[at] for at, _ in hits]))
         g = part.column("__g")[0].as_py()
         return ask_rows([(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)])
 
@@ -403,9 +414,9 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
         return [(r["__g"], bucket, "count", packed(c[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
 
     def work(part, by):
-        t, hits, u, inverse = keys_of(part, by)
-        w, nth = distinct(t.token)
-        n, counts, done = _answered(by, "word", w, n_buckets)[nth], _answered(by, "count", u, n_buckets)[inverse], 0
+        t, hits, pairs = keys_of(part, by)
+        words = Distinct(t.token)
+        n, counts, done = words.spread(_answered(by, "word", words.u, n_buckets)), pairs.spread(_answered(by, "count", pairs.u, n_buckets)), 0
         base = (n + 1) / space
         p = base.copy()
         for at, total in hits:
