@@ -139,13 +139,16 @@ def test_rolling_hash_tells_windows_apart():
 
 
 def test_distinct_keys():
-    from pagefold.llm.common import distinct
+    from pagefold.llm.common import Distinct, distinct
 
     r = np.random.default_rng(8)
     near_ = (r.integers(0, 4, 500).astype(np.uint64) << np.uint64(40)) | r.integers(0, 4, 500).astype(np.uint64)  # differ in their last bits
     for keys in (r.integers(0, 1 << 63, 1000).astype(np.uint64), np.repeat(r.integers(0, 1 << 63, 40).astype(np.uint64), 7), near_, near_[:1], near_[:0]):
         u, inverse = distinct(keys)
         assert (u == np.unique(keys)).all() and (u[inverse] == keys).all()
+        found, mask = Distinct(keys), np.arange(len(keys)) % 3 == 0
+        assert (found.u == u).all() and (found.spread(u) == keys).all()
+        assert found.count(mask).tolist() == [int((keys[mask] == x).sum()) for x in u]
 
 
 def test_word_hashes(monkeypatch):
