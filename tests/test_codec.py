@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import lzma
+import random
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -115,3 +118,15 @@ def test_patches_apply(a, b):
     patches = find_patches(a, b)
     assert codec.apply_diff(b, [(off, x) for _, off, _, x in patches]) == a
     assert codec.read_diff(Reader(codec.diff([(off, x) for _, off, _, x in patches]))) == [(off, x) for _, off, _, x in patches]
+
+
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 70_000])
+@pytest.mark.parametrize("level", [0, 6, 9])
+def test_xz_dictionary_fits_the_input(n, level):
+    """Decoded within the memory that a dictionary of the input's size needs, and packed as well as with the preset's."""
+    half = random.Random(n).randbytes(n // 2)
+    raw = half + half + b"x" * (n % 2)
+    packed = codec.compress(raw, "7zip", level)
+    assert lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=200_000 + 2 * max(n, 4096)).decompress(packed) == raw
+    assert abs(len(packed) - len(lzma.compress(raw, lzma.FORMAT_XZ, preset=level))) <= 8
+    assert codec.decompress(packed, "7zip") == raw
