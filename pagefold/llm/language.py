@@ -23,7 +23,10 @@ place: blocks of documents ask hash buckets (see ``common``) four times.
 4. The corpus's counts of (context, token) pairs of these.
 
 Buckets answer in the order asked.  A word or pair that every document has is
-sent once a block.
+sent once a block.  What a block learns about its places (where contexts may
+occur often, where they are retained) it sends on to itself as bits, so that
+later passes need not find and look up all contexts again; each pass therefore
+takes a block's rows in one order.
 
 Defined results: a null text is empty: only its end is scored; a null doc_id
 counts as the empty string for the split; repeated rows are scored alike and
@@ -42,14 +45,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ASK, REPLY, U64, Distinct, answer, ask, ask_rows, buckets_for, distinct, finish, hash_blocks, hashed, mix, ordered, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
+from .common import ASK, REPLY, U64, Distinct, answer, ask, ask_rows, buckets_for, distinct, finish, flagged, hash_blocks, hashed, mix, ordered, packed, planes, reply_rows, settle, split_buckets, table, texts, unpacked, unplanes
 
 LEAST, DEPTH, GAIN, PRIOR, CLASSES = 8, 4, 24.0, 2000.0, 64
 #: Stand for the hashes of the end and of what is before the first word.
 END, START = U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 #: Bytes of a block, least and most: a block takes about thirty times as much memory.
 BLOCK_BYTES = (4 << 20, 8 << 20)
-_ODD, _CONTEXT = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES)
+CANDIDATE, CANDIDATE_TYPES = ["context", "s", "total", "classes", "counts", "more"], [pa.int64()] * 3 + [pa.binary()] * 3
+_ODD, _CONTEXT, _EVEN = U64(0x9E3779B97F4A7C15), U64((1 << 64) - CLASSES), ~U64(1)
 
 
 def held_out(doc_id="doc_id") -> F.Column:
@@ -153,9 +157,9 @@ class Blocks:
         depth, least, n_buckets = self.depth, self.least, self.buckets
 
         def emit(g, part):
-            t, _, found = _contexts(part, depth)
-            learnt, u = _learnt(t, part), found.u
-            c = found.count(np.tile(learnt, min(2, depth)))
+            t = Tokens(texts(part.column("text")), depth)
+            learnt = _learnt(t, part)
+            u, c = flagged(np.concatenate(t.contexts(2)), np.tile(learnt, min(2, depth)))
             c = np.minimum(c, least).astype(np.uint8)  # sums reach ``least`` as those of the full counts do
             out = [(b, g, "often", planes(u[i:j])[: 5 * (j - i)], np.packbits(c[i:j] == 1).tobytes() + c[i:j][c[i:j] != 1].tobytes()) for b, i, j in split_buckets(u, n_buckets)]
             words = Distinct(t.token)
@@ -216,12 +220,16 @@ class Blocks:
         _free(self.spark)
 
         def work(part, by):
-            t, ids, hits, *_ = _found(part, by, depth, n_buckets)
+            part = _in_order(part)
+            t, ids, hits = _found(part, by, depth, n_buckets) if low == 1 else _placed(part, by, depth)
+            places = _bitmap(hits) if low == 1 else b""
             learnt, group, out = _learnt(t, part), t.token & ~_CONTEXT, []
             hits = [hit & learnt for hit in hits]
             if low == 1:
                 u, c = np.unique((ids[0] | group)[hits[0]], return_counts=True)
                 out = [(b, 0, "one", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)]
+                g = part.column("__g")[0].as_py()
+                out.append((g % n_buckets, g, "places", places, None))
             for x, s, hit in list(zip(ids[1:], ids, hits[1:]))[max(0, low - 2) :]:
                 order, keys, new = ordered((x | group)[hit])
                 u, above = keys[new], s[hit][order[new]]
@@ -232,8 +240,11 @@ class Blocks:
             return ask_rows(out)
 
         def run(key, part):
-            keys, counts, own, above = [], [], [], []
+            keys, counts, own, above, places = [], [], [], [], []
             for r in part.to_pylist():
+                if r["kind"] == "places":
+                    places.append((r["__g"], None, None, r["keys"], None, None))
+                    continue
                 u = unplanes(r["keys"])
                 first = np.zeros(len(u), bool)
                 if r["kind"] == "more":
@@ -244,6 +255,9 @@ class Blocks:
                 own.append(first)
                 keys.append(u)
                 counts.append(unpacked(r["extra"][8 * n :], len(u)))
+            passed = pa.table([pa.array(c, t) for c, t in zip(list(zip(*places)) or [()] * 6, CANDIDATE_TYPES)], names=CANDIDATE)
+            if not keys:
+                return passed
             u, place, n = _added(keys, counts)
             new = np.ones(len(u), bool)
             np.not_equal(u[1:] & _CONTEXT, u[:-1] & _CONTEXT, out=new[1:])
@@ -259,9 +273,24 @@ class Blocks:
                 _pieces(np.minimum(n, 255).astype(np.uint8), ends),
                 _pieces(n[large].view(np.uint8), 8 * np.append(0, np.cumsum(large))[ends]),
             ]
-            return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["context", "s", "total", "classes", "counts", "more"])
+            return pa.concat_tables([pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=CANDIDATE), passed])
 
-        return settle(finish(self.blocked, self.often.filter("kind = 'often'"), work, ASK).groupBy("__b").applyInArrow(run, "context long, s long, total long, classes binary, counts binary, more binary"))
+        known = self.often.filter("kind = 'often'") if low == 1 else self.places
+        out = settle(finish(self.blocked, known, work, ASK).groupBy("__b").applyInArrow(run, "context long, s long, total long, classes binary, counts binary, more binary"))
+        if low == 1:
+            self.places = out.filter("total IS NULL").select(F.col("context").alias("__g"), F.lit(0).alias("__b"), F.lit("places").alias("kind"), F.col("classes").alias("reply"))
+        return out.filter("total IS NOT NULL")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """Replies with a bit for each place of a block and each length of one and two words, if its context may occur often; a by-product of the candidates."""
+        depth, n_buckets = self.depth, self.buckets
+
+        def work(part, by):
+            part = _in_order(part)
+            return reply_rows([(part.column("__g")[0].as_py(), 0, "places", _bitmap(_found(part, by, depth, n_buckets)[2]))])
+
+        return settle(finish(self.blocked, self.often.filter("kind = 'often'"), work, REPLY))
 
     def grow(self, share: float = 0.0, gain: float = GAIN) -> Tree:
         root, n_words = self.words()
@@ -275,16 +304,18 @@ class Blocks:
 
         def run(batches):
             def counts(classes, n, more):
-                out = np.zeros((len(classes), CLASSES))
+                """Row, class and count."""
                 sizes, x = _joined(classes)
                 n = _joined(n)[1].astype(np.int64)
                 n[n == 255] = _joined(more)[1].view(np.int64)
-                out[np.repeat(np.arange(len(out)), sizes), x] = n
-                out[sizes == 0] = root
-                return out
+                return np.repeat(np.arange(len(sizes)), sizes), x, n
 
             for batch in batches:
-                d = divergence(counts(*batch.columns[3:6]), counts(*batch.columns[6:9]))
+                row, x, n = counts(*batch.columns[6:9])
+                above = np.zeros((batch.num_rows, CLASSES))
+                above[row, x] = n
+                above[np.bincount(row, minlength=len(above)) == 0] = root
+                d = divergence(*counts(*batch.columns[3:6]), above)
                 yield pa.RecordBatch.from_arrays([x.filter(pa.array(d - (CLASSES - 1) / 2 >= gain)) for x in batch.columns[:3]], ["context", "s", "total"])
 
         level = kept = settle(both.mapInArrow(run, "context long, s long, total long"))
@@ -301,61 +332,80 @@ def _pieces(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _joined(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The lengths of binary values, null ones' zero, and all their bytes."""
-    raw = [x or b"" for x in values.to_pylist()]
-    return np.fromiter(map(len, raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), np.uint8)
+    values = values.cast(pa.large_binary()).fill_null(b"")
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset :][: len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return np.diff(ends), np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
 
 
-def divergence(own: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """n times the Kullback-Leibler divergence of each row of counts from the row of its suffix, in nats."""
-    p, q = own / own.sum(axis=1, keepdims=True), above / above.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(own > 0, own * np.log(p / q), 0.0).sum(axis=1)
+def divergence(row: np.ndarray, column: np.ndarray, n: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """n times the Kullback-Leibler divergence of each row of counts, given by those that are not zero, from the row of its suffix, in nats."""
+    p, q = n / np.bincount(row, n, len(above))[row], above[row, column] / above.sum(axis=1)[row]
+    with np.errstate(divide="ignore"):
+        return np.bincount(row, n * np.log(p / q), len(above))
 
 
 def _learnt(t: Tokens, part: pa.Table) -> np.ndarray:
     return np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), t.lengths)
 
 
-def _contexts(part: pa.Table, depth: int) -> tuple:
-    """Tokens; the ids of their contexts of one and two words; the distinct ones of all."""
-    t = Tokens(texts(part.column("text")), depth)
-    ids = t.contexts(2)
-    return t, ids, Distinct(np.concatenate(ids))
+def _in_order(part: pa.Table) -> pa.Table:
+    """A block's rows in the order that bits of its places refer to; rows equal in these columns are alike."""
+    return part.sort_by([(c, "ascending") for c in ("doc_id", "held_out", "text")])
+
+
+def _bitmap(masks: list[np.ndarray]) -> bytes:
+    return np.packbits(np.concatenate(masks)).tobytes()
+
+
+def _masks(raw: bytes, k: int, n: int) -> list[np.ndarray]:
+    return list(np.unpackbits(np.frombuffer(raw, np.uint8), count=k * n).view(bool).reshape(k, n))
 
 
 def _found(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length, where the masks are set; masks of those that may occur often, as do then their suffixes; what ``_contexts`` found, and which of its keys may."""
-    t, ids, found = _contexts(part, depth)
+    """Tokens; the ids of their contexts of one and two words; masks of those that may occur often, as do then their suffixes."""
+    t = Tokens(texts(part.column("text")), depth)
+    ids = t.contexts(2)
+    found = Distinct(np.concatenate(ids))
     often = _bits(by, "often", found.u, n_buckets)
-    hits = list(np.logical_and.accumulate(found.spread(often).reshape(min(2, depth), -1)))
+    return t, ids, list(np.logical_and.accumulate(found.spread(often).reshape(len(ids), -1)))
+
+
+def _placed(part: pa.Table, by: dict, depth: int) -> tuple:
+    """Tokens; the ids of their contexts by length, where the masks are set; the masks of those that may occur often, from the block's bits."""
+    t = Tokens(texts(part.column("text")), depth)
+    ids = t.contexts(2)
+    hits = _masks(by["places", 0], len(ids), len(t.token))
     before = np.arange(len(t.token)) - 1  # a text's first token stands for the one before it
     before[t.first] = t.first
     for k in range(3, depth + 1):
         hits.append(hits[1] & hits[-1][before])
         ids.append(t.deeper(k, hits[-1]))
-    return t, ids, hits, found, often
+    return t, ids, hits
+
 
+def _held(ids: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """The contexts at some places, by length."""
+    return np.concatenate([x[at] for x, at in zip(ids, places)])
 
-def _deep(ids: list[np.ndarray], hits: list[np.ndarray]) -> Distinct:
-    """The distinct contexts of three words and more."""
-    return Distinct(np.concatenate([np.empty(0, U64), *(x[hit] for x, hit in zip(ids[2:], hits[2:]))]))
 
+def _totals(totals: np.ndarray) -> bytes:
+    """Totals of contexts, zero for those not retained: the number of the others, these as ``packed`` has them, and which they are."""
+    some = totals[totals > 0]
+    return np.int32(len(some)).tobytes() + packed(some) + np.packbits(totals > 0).tobytes()
 
-def _retained(part: pa.Table, by: dict, depth: int, n_buckets: int) -> tuple:
-    """Tokens; the ids of their contexts by length; where each length has retained ones, and their totals."""
-    t, ids, hits, found, often = _found(part, by, depth, n_buckets)
-    total = np.zeros(len(often))
-    total[often] = _answered(by, "kept", found.u[often], n_buckets)
-    totals, deep = found.spread(total).reshape(min(2, depth), -1), _deep(ids, hits)
-    deep, done, out = deep.spread(_answered(by, "deep", deep.u, n_buckets)), 0, []
-    for k, hit in enumerate(hits):
-        place = np.flatnonzero(hit)
-        if k < 2:
-            total = totals[k][place]
-        else:
-            total, done = deep[done : done + len(place)], done + len(place)
-        out.append((place[total > 0], total[total > 0]))
-    return t, ids, out
+
+def _some_totals(raw: bytes) -> np.ndarray:
+    """The totals in it that are not zero."""
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    large = int((np.frombuffer(raw, np.uint8, n, 4) == 255).sum())
+    return unpacked(raw[4 : 4 + n + 8 * large], n)
+
+
+def _all_totals(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    out[np.unpackbits(np.frombuffer(raw, np.uint8)[len(raw) - -(-n // 8) :], count=n).view(bool)] = _some_totals(raw)
+    return out
 
 
 def grow(train: DataFrame, share: float = 0.0, gain: float = GAIN, least: int = LEAST, depth: int = DEPTH) -> Tree:
@@ -375,9 +425,12 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
     retained = tree.kept.withColumn("__b", F.shiftrightunsigned("context", 64 - (n_buckets.bit_length() - 1)).cast("int"))
 
     def wanted(part, by):
-        _, ids, hits, found, often = _found(part, by, depth, n_buckets)
-        g, v = part.column("__g")[0].as_py(), _deep(ids, hits).u
-        return ask_rows([(b, g, kind, planes(x[i:j]), None) for kind, x in (("kept", found.u[often]), ("deep", v)) for b, i, j in split_buckets(x, n_buckets)])
+        part = _in_order(part)
+        _, ids, hits = _placed(part, by, depth)
+        g, keys = part.column("__g")[0].as_py(), _held(ids, hits)
+        keys.sort()
+        u = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        return ask_rows([(b, g, "kept", planes(u[i:j]), None) for b, i, j in split_buckets(u, n_buckets)])
 
     def chosen(key, asked, tree_part):
         tree_part = tree_part.sort_by("context")  # as signed numbers: one bucket is on one side of zero
@@ -387,47 +440,64 @@ def score(docs: DataFrame, tree: Tree | None = None, prior: float = PRIOR) -> Da
             keys = unplanes(r["keys"])
             at = np.searchsorted(contexts, keys)
             here = np.append(contexts, U64(0))[at] == keys
-            out.append((r["__g"], key[0].as_py(), r["kind"], packed(np.where(here, totals[at], 0))))
+            out.append((r["__g"], key[0].as_py(), r["kind"], _totals(np.where(here, totals[at], 0))))
         return reply_rows(out)
 
-    often = dealt.often.filter("kind = 'often'")
+    places = dealt.places
     _free(docs.sparkSession)
-    kept = settle(finish(dealt.blocked, often, wanted, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(chosen, REPLY))
+    kept = settle(finish(dealt.blocked, places, wanted, ASK).groupBy("__b").cogroup(retained.groupBy("__b")).applyInArrow(chosen, REPLY))
     _free(docs.sparkSession)
 
-    def keys_of(part, by):
-        """Tokens; where retained contexts are, and their totals, by length; distinct pairs."""
-        t, ids, hits = _retained(part, by, depth, n_buckets)
-        return t, hits, Distinct(np.concatenate([mix(x[at] + mix(t.token[at])) for x, (at, _) in zip(ids, hits)]))
+    def pairs_of(t, ids, places):
+        token = mix(t.token)
+        return np.concatenate([mix(x[at] + token[at]) & _EVEN for x, at in zip(ids, places)])
 
     def emit(part, by):
-        t, hits, pairs = keys_of(part, by)
-        learnt, u = _learnt(t, part), pairs.u
-        c = pairs.count(np.concatenate([learnt[at] for at, _ in hits]))
-        g = part.column("__g")[0].as_py()
-        return ask_rows([(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)])
+        part = _in_order(part)
+        t, ids, hits = _placed(part, by, depth)
+        asked = Distinct(_held(ids, hits))
+        totals = np.zeros(len(asked.u), bool)
+        for b, i, j in split_buckets(asked.u, n_buckets):
+            totals[i:j] = _all_totals(by["kept", b], j - i) > 0
+        held, done = asked.spread(totals), 0
+        for hit in hits:
+            n = int(hit.sum())
+            hit[hit], done = held[done : done + n], done + n
+        places = [np.flatnonzero(hit) for hit in hits]
+        learnt, g = _learnt(t, part), part.column("__g")[0].as_py()
+        u, c = flagged(pairs_of(t, ids, places), np.concatenate([learnt[at] for at in places]))
+        return ask_rows([(b, g, "count", planes(u[i:j]), packed(c[i:j])) for b, i, j in split_buckets(u, n_buckets)] + [(g % n_buckets, g, "retained", _bitmap(hits), None)])
 
     def resolve(bucket, rows):
-        keys = [unplanes(r["keys"]) for r in rows]
-        _, inverse, c = _added(keys, [unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)])
-        ends = np.cumsum([len(k) for k in keys])
-        return [(r["__g"], bucket, "count", packed(c[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
+        out = [(r["__g"], bucket, "retained", r["keys"]) for r in rows if r["kind"] == "retained"]
+        if rows := [r for r in rows if r["kind"] == "count"]:
+            keys = [unplanes(r["keys"]) for r in rows]
+            _, inverse, c = _added(keys, [unpacked(r["extra"], len(k)) for r, k in zip(rows, keys)])
+            ends = np.cumsum([len(k) for k in keys])
+            out += [(r["__g"], bucket, "count", packed(c[inverse[e - len(k) : e]])) for r, k, e in zip(rows, keys, ends)]
+        return out
 
     def work(part, by):
-        t, hits, pairs = keys_of(part, by)
-        words = Distinct(t.token)
+        part = _in_order(part)
+        t = Tokens(texts(part.column("text")), depth)
+        ids, hits = t.contexts(2), _masks(by["retained", part.column("__g")[0].as_py() % n_buckets], depth, len(t.token))
+        ids += [t.deeper(k, hits[k - 1]) for k in range(3, depth + 1)]  # a retained context's suffix is retained
+        places = [np.flatnonzero(hit) for hit in hits]
+        pairs, words = Distinct(pairs_of(t, ids, places)), Distinct(t.token)
+        totals = [np.empty(0), *(_some_totals(by[key]) for key in sorted(key for key in by if key[0] == "kept"))]
+        totals = Distinct(_held(ids, places)).spread(np.concatenate(totals))
         n, counts, done = words.spread(_answered(by, "word", words.u, n_buckets)), pairs.spread(_answered(by, "count", pairs.u, n_buckets)), 0
         base = (n + 1) / space
         p = base.copy()
-        for at, total in hits:
-            p[at] = (counts[done : done + len(at)] + prior * p[at]) / (total + prior)
+        for at in places:
+            p[at] = (counts[done : done + len(at)] + prior * p[at]) / (totals[done : done + len(at)] + prior)
             done += len(at)
         add = lambda x: np.add.reduceat(x, t.first)
         cols = [part.column("doc_id"), part.column("held_out"), t.lengths, add((n > 0).astype(np.int64)), np.full(len(t.lengths), tokens), add(np.log10(base)), add(np.log10(p))]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in cols], names=[x.split()[0] for x in COLUMNS.split(", ")])
 
-    replies = answer(finish(dealt.blocked, often.union(kept), emit, ASK), resolve)
-    return finish(dealt.blocked, dealt.often.filter("kind <> 'sums'").union(kept).union(replies), work, COLUMNS)
+    replies = answer(finish(dealt.blocked, places.union(kept), emit, ASK), resolve)
+    return finish(dealt.blocked, dealt.often.filter("kind = 'word'").union(kept).union(replies), work, COLUMNS)
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:

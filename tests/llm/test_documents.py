@@ -446,6 +446,64 @@ def test_licenses_copies():
     assert len(words) <= 3 * n
 
 
+def test_flagged_keys():
+    """Distinct keys and their flagged places from one sort."""
+    from pagefold.llm.common import flagged
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        keys, flags = rng.integers(0, 1 << 63, 400, dtype=np.uint64)[rng.integers(0, 400, n)] << np.uint64(1), rng.random(n) < 0.7
+        u, c = flagged(keys, flags)
+        assert u.tolist() == sorted(set(keys.tolist()))
+        assert c.tolist() == [int(flags[keys == k].sum()) for k in u]
+
+
+def test_word_hashes_by_length():
+    """Words of every length around the eight-byte steps and the change of method, alone and inside a text, the last byte changed too."""
+    from pagefold.llm import common
+
+    sizes = [*range(1, 42), *range(120, 140), 1000]
+    words = [bytes([97 + k % 5]) * n for n in sizes for k in range(5)] + [b"a" * (n - 1) + b"z" for n in sizes if n > 1]
+    h, counts = common.hashed([b" ".join(words)])
+    assert counts.tolist() == [len(words)] and len(set(h.tolist())) == len(words)
+    alone, _ = common.hashed([b"\n\t " + w + b"\r" for w in reversed(words)])
+    assert alone[::-1].tolist() == h.tolist()
+    assert common.hashed([b" ".join(words).upper()], fold=True)[0].tolist() == h.tolist()
+
+
+def test_language_model_places():
+    """After the candidates a block needs its bits only, whatever the order of its rows, to find the contexts that its look-up had found."""
+    import pyarrow as pa
+
+    from pagefold.llm import common
+
+    rows = [(k % 7, f"w{k % 5} w{k % 3} w{k} a b c d" * (k % 4), False) for k in range(40)] + [(None, None, False), (3, None, False), (3, "", True)]
+    shuffled = [rows[k] for k in np.random.default_rng(2).permutation(len(rows))]
+    one, two = (language._in_order(pa.Table.from_pylist([dict(zip(("doc_id", "text", "held_out"), r)) for r in x], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_())]))) for x in (rows, shuffled))
+    assert one.equals(two)
+    ids = language.Tokens(common.texts(one.column("text")), 4).contexts(2)
+    u, n = np.unique(np.concatenate(ids), return_counts=True)
+    by = {("often", b): np.packbits(n[i:j] >= 3).tobytes() for b, i, j in common.split_buckets(u, 16)}
+    _, ids, found = language._found(one, by, 4, 16)
+    _, deep, hits = language._placed(two, {("places", 0): language._bitmap(found)}, 4)
+    assert [x.tolist() for x in hits[:2]] == [x.tolist() for x in found] and len(hits) == len(deep) == 4 and 0 < hits[3].sum() < hits[1].sum()
+    totals = np.array([0, 9, 254, 0, 255, 300, 1 << 33, 0])
+    assert language._all_totals(language._totals(totals), len(totals)).tolist() == totals.tolist()
+    assert language._some_totals(language._totals(totals)).tolist() == totals[totals > 0].tolist()
+    assert language._some_totals(language._totals(totals[:1])).tolist() == []
+
+
+def test_language_model_divergence():
+    rng = np.random.default_rng(3)
+    above = rng.integers(1, 50, (30, 8)).astype(float)
+    own = np.floor(above * rng.random((30, 8)) ** 3)
+    own[:, 0] = 1
+    p, q = own / own.sum(axis=1, keepdims=True), above / above.sum(axis=1, keepdims=True)
+    want = (own * np.log(np.where(own > 0, p, q) / q)).sum(axis=1)
+    at = np.nonzero(own)
+    assert np.allclose(language.divergence(*at, own[at], above), want)
+
+
 def test_language_model(spark):
     docs = frame(spark)
     got = language.score(docs, None).collect()
